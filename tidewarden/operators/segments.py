@@ -40,7 +40,7 @@ class Segmented:
 
 def planned_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a plan; needs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def position(df: DataFrame, column: str) -> Column:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import event_queries  # noqa: F401
+from . import event_queries, ordered_queries  # noqa: F401
