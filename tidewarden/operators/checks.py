@@ -11,6 +11,7 @@ from pyspark.sql.udtf import UserDefinedTableFunction
 from ..functions.text import mask_user_info, trim_body
 from ..functions.times import shift
 from .ordered import OrderedRows
+from .segments import Cuts
 
 FAIL_COUNT = 3
 RESOLVE_COUNT = 2
@@ -109,12 +110,14 @@ def run_check_table(
     )
 
 
-def streaks(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def streaks(
+    results: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None
+) -> DataFrame:
     """`verdict` per result: failed when the last fail_count are bad, resolved when a failed check
     has its last resolve_count good, else other; failure is tested first and repeats.
     Rows carry ok, fail_count, resolve_count (both at least 1)."""
     columns = results.columns
-    rows = OrderedRows(results.withColumn("_one", F.lit(1)), keys, order)
+    rows = OrderedRows(results.withColumn("_one", F.lit(1)), keys, order, cuts)
     rows = rows.previous(_before=F.col("ok")).running(_n=F.col("_one"))
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("ok"))
     rows = rows.last_known(inclusive=True, _start=F.when(changed, F.col("_n")))
@@ -136,11 +139,13 @@ def code_text() -> Column:
     return F.coalesce(F.col("status_code").cast("string"), F.lit("failed-fetch"))
 
 
-def history_text(results: DataFrame, keys: list[str], order: list[str], longest: int) -> DataFrame:
+def history_text(
+    results: DataFrame, keys: list[str], order: list[str], longest: int, cuts: Cuts | None = None
+) -> DataFrame:
     """`history`: the last max(fail_count, resolve_count) codes of a check joined by ", ".
     `longest` is the largest such number over all definitions."""
     columns = results.columns
-    rows = OrderedRows(results.withColumn("_p0", code_text()), keys, order)
+    rows = OrderedRows(results.withColumn("_p0", code_text()), keys, order, cuts)
     for i in range(1, longest):
         rows = rows.previous(**{f"_p{i}": F.col(f"_p{i - 1}")})
     size = F.greatest("fail_count", "resolve_count")
@@ -149,9 +154,11 @@ def history_text(results: DataFrame, keys: list[str], order: list[str], longest:
     return rows.df.select(*columns, F.array_join(kept, ", ").alias("history"))
 
 
-def latest_values(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_values(
+    results: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None
+) -> DataFrame:
     """Most recent body and most recent error, each looked up on its own."""
-    return OrderedRows(results, keys, order).last_known(
+    return OrderedRows(results, keys, order, cuts).last_known(
         inclusive=True, last_body="body", last_error="error"
     ).df
 

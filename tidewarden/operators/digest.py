@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.times import period_millis
 from .ordered import OrderedRows
-from .segments import position
+from .segments import Cuts, find_cuts, position
 
 SEPARATOR = "\n\n---\n\n"
 
@@ -27,12 +27,13 @@ def waits_micros(backoff: str) -> list[int]:
     return [period_millis(p) * 1000 for p in backoff.split()]
 
 
-def stretches(mails: DataFrame, shortest: int) -> DataFrame:
+def stretches(mails: DataFrame, shortest: int, cuts: Cuts | None = None) -> DataFrame:
     """Maximal runs of a subject's mails with no gap longer than `shortest` microseconds."""
     rows = OrderedRows(
         mails.select("subject", "arrival", position(mails, "ts").alias("at")),
         ["subject"],
         ["at", "arrival"],
+        cuts,
     )
     rows = rows.previous(_before="at")
     fresh = F.col("_before").isNull() | (F.col("at") - F.col("_before") > shortest)
@@ -83,7 +84,11 @@ def run_timers(
 
 
 def digest_spans(
-    mails: DataFrame, backoff: str, stop: Column, outages: list[tuple[int, int]] | None = None
+    mails: DataFrame,
+    backoff: str,
+    stop: Column,
+    outages: list[tuple[int, int]] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """subject, digest, from_us, to_us, flushed: which mails go into which digest.
     `outages`: intervals in microseconds during which sending fails and is retried. `stop` is the
@@ -108,7 +113,7 @@ def digest_spans(
 
     limit = F.unix_micros(stop)
     seen = mails.filter(position(mails, "ts") <= limit)
-    found = stretches(seen, min(waits)).withColumn("stop", limit)
+    found = stretches(seen, min(waits), cuts).withColumn("stop", limit)
     return found.groupBy("subject").applyInPandas(
         per_subject, "subject string, digest bigint, from_us bigint, to_us bigint, flushed boolean"
     )
@@ -122,7 +127,8 @@ def mail_digest(
     outages: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Digests with their text. Mails: subject, body, ts, arrival."""
-    spans = digest_spans(mails, backoff, stop, outages)
+    cuts = find_cuts(mails, ["subject"], "ts")
+    spans = digest_spans(mails, backoff, stop, outages, cuts)
     seen = mails.select(
         "subject",
         position(mails, "ts").alias("at"),
@@ -143,7 +149,7 @@ def mail_digest(
         "to_us",
         "flushed",
     )
-    rows = OrderedRows(seen.unionByName(marks), ["subject"], ["at", "kind", "arrival"])
+    rows = OrderedRows(seen.unionByName(marks), ["subject"], ["at", "kind", "arrival"], cuts)
     span = F.struct("digest", "to_us", "flushed")
     rows = rows.last_known(
         inclusive=True, _span=F.when(F.col("digest").isNotNull(), span)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import shift
 from .ordered import OrderedRows
-from .segments import position
+from .segments import find_cuts
 from .throttle import edge_trigger, greedy_throttle
 
 
@@ -49,9 +49,10 @@ def throttled(df: DataFrame, keys: list[str], order: list[str], gap_micros: int)
     A resolve does not reset the throttle clock, so a relapse within it stays silent.
     Rows without a pager key are returned too, with `action` alert in place of trigger."""
     columns = df.columns
-    fired = greedy_throttle(df.filter("failing"), keys, order, F.lit(gap_micros))
+    cuts = find_cuts(df, keys, order[0])
+    fired = greedy_throttle(df.filter("failing"), keys, order, F.lit(gap_micros), cuts=cuts)
     seen = fired.unionByName(df.filter(~F.col("failing")))
-    rows = OrderedRows(seen, keys, order).previous(_failed=F.col("failing"))
+    rows = OrderedRows(seen, keys, order, cuts).previous(_failed=F.col("failing"))
     action = F.when(F.col("failing"), "trigger").when(F.col("_failed"), "resolve")
     return rows.df.select(*columns, action.alias("action")).filter(F.col("action").isNotNull())
 
@@ -66,10 +67,11 @@ def backlog_pager(df: DataFrame, keys: list[str], order: list[str], gap_micros:
     late = (F.col("period_ms") != 0) & (oldest < edge)
     state = df.withColumn("_late", F.when(late, True).when(oldest >= edge, False))
     state = state.filter(F.col("_late").isNotNull())
-    rows = OrderedRows(state, keys, order)
+    cuts = find_cuts(df, keys, order[0])
+    rows = OrderedRows(state, keys, order, cuts)
     spells = rows.running(_spell=F.when(F.col("_late"), 0).otherwise(1).cast("long"))
     pages = greedy_throttle(
-        spells.df.filter("_late"), [*keys, "_spell"], order, F.lit(gap_micros)
+        spells.df.filter("_late"), [*keys, "_spell"], order, F.lit(gap_micros), cuts=cuts
     ).select(*columns, F.lit("trigger").alias("action"))
     back = rows.previous(_was=F.col("_late")).df.filter(~F.col("_late") & F.col("_was"))
     resolves = back.select(*columns, F.lit("resolve").alias("action"))
@@ -86,13 +88,14 @@ def failed_job_pager(probes: DataFrame, failed: DataFrame) -> DataFrame:
     numbered = OrderedRows(probes.select("env", "ts").distinct(), ["env"], ["ts"])
     numbered = numbered.running(seq=F.lit(1).cast("long")).df
     jobs = ["env", "job"]
-    rows = OrderedRows(failed.join(numbered, ["env", "ts"], "inner"), jobs, ["seq"])
+    cuts = find_cuts(failed, jobs, "ts")
+    rows = OrderedRows(failed.join(numbered, ["env", "ts"], "inner"), jobs, ["ts"], cuts)
     rows = rows.previous(_before=F.col("seq"))
     fresh = F.col("_before").isNull() | (F.col("_before") != F.col("seq") - 1)
     spells = rows.last_known(inclusive=True, _spell=F.when(fresh, F.col("seq"))).df
     again = spells.filter((F.col("seq") > F.col("_spell")) & (F.col("throttle_ms") > 0))
     pages = greedy_throttle(
-        again, [*jobs, "_spell"], ["ts"], F.col("throttle_ms") * F.lit(1000)
+        again, [*jobs, "_spell"], ["ts"], F.col("throttle_ms") * F.lit(1000), cuts=cuts
     )
     ends = spells.groupBy(*jobs, "_spell").agg(
         (F.max("seq") + 1).alias("seq"),
@@ -123,6 +126,3 @@ def guardian_unavailable(df: DataFrame, keys: list[str], order: list[str]) -> Da
         df.withColumn("failing", ~F.col("located")), keys, order, flag_needs_key=True
     )
 
-
-def micros(df: DataFrame, column: str) -> Column:
-    return position(df, column)

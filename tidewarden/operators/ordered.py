@@ -1,7 +1,9 @@
 """Look-back, look-ahead, last-known-value and running totals per key, safe for hot keys.
 
-Ordinary keys use one window. When `plan_segments` cut a key, the window runs per (key, segment)
-and the value that crosses a segment border comes from a summary with one row per segment.
+Ordinary keys use one window. When `find_cuts` cut a key, the window runs per (key, segment)
+and the value that crosses a segment border comes from a summary with one row per segment. Each
+summary is checkpointed, so a chain of steps stays one shuffle of the rows plus one pass over the
+hot rows per step, instead of recomputing all earlier summaries.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .segments import HOT, SEG, plan_segments
+from .segments import HOT, SEG, Cuts, find_cuts, materialize
+
+BROADCAST_SEGMENTS = 50_000
 
 
 def _column(value: Column | str) -> Column:
@@ -18,27 +22,30 @@ def _column(value: Column | str) -> Column:
 
 
 class OrderedRows:
-    """Rows of `df` in ascending `order` within `keys`. `order` must identify a row of a key."""
-
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
-        planned = plan_segments(df, keys, order[0])
-        self._set(planned.df, list(keys), list(order), planned.split)
+    """Rows of `df` in ascending `order` within `keys`. `order` must identify a row of a key.
+    `cuts` are those of a table this one was derived from; without them they are looked for."""
 
-    def _set(self, df: DataFrame, keys: list[str], order: list[str], split: bool) -> None:
-        self._df, self.keys, self.order, self.split = df, keys, order, split
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None):
+        cuts = cuts or find_cuts(df, keys, order[0])
+        self._df, self.cuts = cuts.mark(df, order[0]), cuts
+        self.keys, self.order = list(keys), list(order)
 
     def _with(self, df: DataFrame) -> "OrderedRows":
         other = object.__new__(OrderedRows)
-        other._set(df, self.keys, self.order, self.split)
+        other._df, other.cuts, other.keys, other.order = df, self.cuts, self.keys, self.order
         return other
 
+    @property
+    def split(self) -> bool:
+        return self.cuts.split
+
     @property
     def df(self) -> DataFrame:
         return self._df.drop(SEG, HOT) if self.split else self._df
 
     @property
     def _window(self):
-        parts = self.keys + ([SEG] if self.split else [])
+        parts = self.keys + ([HOT, SEG] if self.split else [])
         return Window.partitionBy(*parts).orderBy(*self.order)
 
     @property
@@ -61,7 +68,10 @@ class OrderedRows:
         renamed = carry.select(
             *[F.col(c).alias("_c_" + c) for c in on], *[F.col(n) for n in names]
         )
-        condition = F.lit(True)
+        renamed = materialize(renamed)
+        if self.cuts.segments <= BROADCAST_SEGMENTS:
+            renamed = F.broadcast(renamed)
+        condition = F.col(HOT)
         for c in on:
             condition = condition & df[c].eqNullSafe(renamed["_c_" + c])
         return df.join(renamed, condition, "left").drop(*["_c_" + c for c in on])

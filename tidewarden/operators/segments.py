@@ -1,9 +1,9 @@
 """Splitting of hot keys for per-key ordered work.
 
 A window partitioned by key sends all rows of a key to one task. When a key holds a large share
-of the table that task is the whole job. `plan_segments` finds such keys, cuts each of them into
-consecutive time segments at its own quantiles, and adds the segment number as a column. Callers
-then work on (key, segment) and carry a small summary from one segment of a key to the next.
+of the table that task is the whole job. `find_cuts` finds such keys and cuts each of them into
+consecutive time segments at its own quantiles; `Cuts.mark` adds the segment number. Callers then
+work on (key, segment) and carry a small summary from one segment of a key to the next.
 
 Sizes: a key counts as hot when it holds more than max(rows_per_segment, total / MAX_HOT_KEYS)
 rows, so there are never more than MAX_HOT_KEYS hot keys, and the table of cut points, the only
@@ -13,6 +13,7 @@ Cut points are literals by the time the query runs, so a recomputed task sees th
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +33,34 @@ HOT = "_hot"
 
 
 @dataclass(frozen=True)
-class Segmented:
-    df: DataFrame
+class Cuts:
+    """Cut points of the hot keys of a table; `frame` is None when there are none.
+
+    A segment is a function of key and instant, so the cuts found for a table serve every table
+    derived from it by dropping rows, and save looking for hot keys again at every step."""
+
     keys: list[str]
-    split: bool
+    frame: DataFrame | None
+    segments: int = 0
+
+    @property
+    def split(self) -> bool:
+        return self.frame is not None
+
+    def mark(self, df: DataFrame, order: str) -> DataFrame:
+        """Add `_seg` (0 for ordinary keys) and `_hot`."""
+        if self.frame is None:
+            return df
+        pos = position(df, order)
+        group = F.size(F.filter("_heads", lambda c: c <= pos))
+        inner = F.size(F.filter(F.element_at("_groups", group), lambda c: c <= pos))
+        seg = F.when(F.col("_heads").isNull() | (group == 0), 0).otherwise(
+            (group - 1) * _FAN + inner
+        )
+        same = same_keys(df, self.frame, self.keys, "_k_")
+        return df.join(F.broadcast(self.frame), same, "left").select(
+            *df.columns, seg.alias(SEG), F.col("_heads").isNotNull().alias(HOT)
+        )
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -61,12 +86,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -
     return condition
 
 
-def plan_segments(df: DataFrame, keys: list[str], order: str) -> Segmented:
-    """Add `_seg` (0 for ordinary keys) and `_hot`; `split` tells whether any key was cut."""
+def find_cuts(df: DataFrame, keys: list[str], order: str) -> Cuts:
+    """Cut points of the keys of `df` that are too large for one task, if there are any."""
     spark = df.sparkSession
     rows = int(spark.conf.get(ROWS_CONF, str(DEFAULT_ROWS)))
     check_bytes = int(spark.conf.get(CHECK_CONF, str(DEFAULT_CHECK_BYTES)))
-    plain = Segmented(df, keys, False)
+    plain = Cuts(keys, None)
     if planned_bytes(df) <= check_bytes:
         return plain
 
@@ -105,14 +130,19 @@ def plan_segments(df: DataFrame, keys: list[str], order: str) -> Segmented:
             T.StructField("_groups", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    cuts = spark.createDataFrame(cut_rows, cut_schema)
-
-    group = F.size(F.filter("_heads", lambda c: c <= pos))
-    inner = F.size(F.filter(F.element_at("_groups", group), lambda c: c <= pos))
-    seg = F.when(F.col("_heads").isNull() | (group == 0), 0).otherwise(
-        (group - 1) * _FAN + inner
-    )
-    out = df.join(F.broadcast(cuts), same_keys(df, cuts, keys, "_k_"), "left").select(
-        *df.columns, seg.alias(SEG), F.col("_heads").isNotNull().alias(HOT)
-    )
-    return Segmented(out, keys, True)
+    segments = sum(1 + sum(map(len, row[-1])) for row in cut_rows)
+    return Cuts(keys, spark.createDataFrame(cut_rows, cut_schema), segments)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table by a reliable checkpoint in the session's shared folder.
+    Only a local session may fall back to a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+            folder = tempfile.mkdtemp(prefix="tidewarden-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

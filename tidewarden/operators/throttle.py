@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .ordered import OrderedRows, _column
-from .segments import HOT, SEG, plan_segments, position, same_keys
+from .segments import HOT, SEG, Cuts, find_cuts, position, same_keys
 
 _HELPERS = ("_first", "_pos", "_gap", "_from")
 
@@ -124,6 +124,7 @@ def greedy_throttle(
     gap: Column,
     strict: bool = True,
     start: Column | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Rows that fire: the first of a key, then the first one more than `gap` microseconds after
     the last fired one (`strict=False`: at least `gap` after). `start` presets the last fired
@@ -133,13 +134,12 @@ def greedy_throttle(
     segments that are summarised as step functions over its distinct instants, chained, and then
     resolved in parallel.
     """
-    planned = plan_segments(df, keys, order[0])
+    cuts = cuts or find_cuts(df, keys, order[0])
     start = F.lit(None).cast("long") if start is None else start
-    base = planned.df if planned.split else df
-    columns = df.columns
-    cold = base.filter(~F.col(HOT)) if planned.split else base
+    base, columns = cuts.mark(df, order[0]), df.columns
+    cold = base.filter(~F.col(HOT)) if cuts.split else base
     fired = _fire_cold(cold, df, keys, order, gap, start, strict, columns)
-    if not planned.split:
+    if not cuts.split:
         return fired
     return fired.unionByName(
         _fire_hot(base.filter(HOT), df, keys, order, gap, start, strict, columns)
@@ -224,20 +224,24 @@ def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
 
 
 def session_throttle(
-    df: DataFrame, keys: list[str], order: list[str], gap_micros: int
+    df: DataFrame, keys: list[str], order: list[str], gap_micros: int, cuts: Cuts | None = None
 ) -> DataFrame:
     """Rows seen at least `gap` after the previous sighting of the key, fired or not."""
     pos = position(df, order[0])
-    rows = OrderedRows(df, keys, order).with_columns(_pos=pos).previous(_seen=F.col("_pos"))
+    rows = OrderedRows(df, keys, order, cuts).with_columns(_pos=pos).previous(_seen=F.col("_pos"))
     quiet = F.col("_seen").isNull() | (F.col("_seen") + F.lit(gap_micros) <= F.col("_pos"))
     return rows.df.filter(quiet).drop("_pos", "_seen")
 
 
 def edge_trigger(
-    df: DataFrame, keys: list[str], order: list[str], failing: Column | str
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    failing: Column | str,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """`action` = trigger when `failing` turns true, resolve when it turns false; nothing between."""
-    rows = OrderedRows(df.withColumn("_failing", _column(failing)), keys, order)
+    rows = OrderedRows(df.withColumn("_failing", _column(failing)), keys, order, cuts)
     rows = rows.previous(_failed=F.col("_failing"))
     was = F.coalesce("_failed", F.lit(False))
     action = F.when(F.col("_failing") & ~was, "trigger").when(~F.col("_failing") & was, "resolve")

@@ -9,6 +9,7 @@ from ..functions import text
 from ..functions.times import at, shift
 from ..operators import checks as ck
 from ..operators import freshness, incidents, lag, silence, throttle, topology
+from ..operators.segments import find_cuts
 from ..session import table
 from . import views
 from .registry import query
@@ -277,7 +278,9 @@ def latest_values(spark, sf):
 def check_incidents(spark, sf):
     """Alerts and pages of failing checks; group g1 ignores failed fetches."""
     keys = ["group", "name"]
-    rows = ck.latest_values(ck.streaks(views.checks(spark, sf), keys, _ORDER), keys, _ORDER)
+    results = views.checks(spark, sf)
+    cuts = find_cuts(results, keys, "ts")
+    rows = ck.latest_values(ck.streaks(results, keys, _ORDER, cuts), keys, _ORDER, cuts)
     rows = rows.withColumn("ignore_failed_fetch", F.col("group") == "g1")
     failed = (F.col("verdict") == "failed") & ~ck.suppressed()
     action = F.when(failed, "trigger").when(F.col("verdict") == "resolved", "resolve")
@@ -408,15 +411,52 @@ def ping_metrics(spark, sf):
 
 
 @query(
-    "failure_details",
+    "response_view",
     f"WITH {CHECK_SQL} SELECT event_id, error IS NULL AS success, error AS reason, status_code AS status, "
     "body AS response_body FROM v_check",
 )
-def failure_details(spark, sf):
+def response_view(spark, sf):
     out = ck.response_view(views.checks(spark, sf))
     return out.select("event_id", "success", "reason", "status", "response_body")
 
 
+@query(
+    "failure_details",
+    f"WITH {CHECK_SQL}{_STREAK_SQL.format('v_check')}, h AS (SELECT *, coalesce(CAST(status_code AS VARCHAR), 'failed-fetch') AS code, "
+    "greatest(fail_count, resolve_count) AS n FROM v_verdict), "
+    "hh AS (SELECT a.event_id, string_agg(b.code, ', ' ORDER BY b.rn) AS history FROM h a JOIN h b "
+    "ON a.grp = b.grp AND a.name = b.name AND b.rn <= a.rn AND b.rn > a.rn - a.n GROUP BY 1), "
+    "lv AS (SELECT event_id, verdict, name, last_value(body IGNORE NULLS) OVER w AS last_body, last_value(error IGNORE NULLS) OVER w AS last_error "
+    "FROM v_verdict WINDOW w AS (PARTITION BY grp, name ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT event_id, 'http://user:*@' || name || '/x' AS uri, history, last_body AS body, last_error AS exception "
+    "FROM lv JOIN hh USING (event_id) WHERE verdict = 'failed'",
+)
+def failure_details(spark, sf):
+    keys = ["group", "name"]
+    rows = views.checks(spark, sf).withColumns(
+        {
+            "uri": F.concat(F.lit("http://user:secret@"), F.col("name"), F.lit("/x")),
+            "definition": F.lit("{}"),
+            "data": F.create_map().cast("map<string,string>"),
+        }
+    )
+    cuts = find_cuts(rows, keys, "ts")
+    rows = ck.streaks(rows, keys, _ORDER, cuts)
+    rows = ck.latest_values(rows, keys, _ORDER, cuts)
+    rows = ck.history_text(rows, keys, _ORDER, 3, cuts).filter(F.col("verdict") == "failed")
+
+    def field(name):
+        return F.get_json_object("details", f"$['{name}']")
+
+    return ck.failure_details(rows).select(
+        "event_id",
+        field("uri").alias("uri"),
+        field("status history").alias("history"),
+        field("body").alias("body"),
+        field("exception").alias("exception"),
+    )
+
+
 # ---- throttles and incidents -----------------------------------------------------------------
 
 
