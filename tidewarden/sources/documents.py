@@ -124,7 +124,7 @@ def job_config(df: DataFrame, config: str = "config") -> DataFrame:
     """Name and inputs of a job, one row per input, with the servers of the input's system: the
     property bootstrap.servers, else metadata.broker.list. Missing or odd settings give an error."""
     c = F.col(config)
-    inputs = F.transform(F.split(F.element_at(c, F.lit("task.inputs")), ","), F.trim)
+    inputs = F.transform(F.split(F.element_at(c, F.lit("task.inputs")), ","), lambda s: F.trim(s))
     each = df.withColumn("_input", F.explode_outer(inputs))
     pair = split_pair("_input", "[.]")
     system = pair[0]
