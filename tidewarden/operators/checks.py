@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.udtf import UserDefinedTableFunction
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import mask_user_info, trim_body
 from ..functions.times import shift
@@ -73,24 +75,7 @@ def apply_predicate(results: DataFrame, ok: Column, data: Column) -> DataFrame:
     return results.withColumns({"ok": fetched & ok, "data": F.when(fetched, data)})
 
 
-def check_table(function: Callable[[dict], Iterable[tuple[str, bool, dict]]]):
-    """Wrap a user check as a table function: one input row gives a good base row and the check's
-    own rows, or a single bad base row with the error when the check raises."""
-
-    class CheckTable:
-        def eval(self, name: str, payload: str):
-            try:
-                found = list(function(payload))
-            except Exception as problem:  # the check is user code; its failure is a result
-                yield name, False, {"error": str(problem)}
-                return
-            yield name, True, {}
-            for sub, ok, data in found:
-                yield sub, bool(ok), {k: str(v) for k, v in data.items()}
-
-    from pyspark.sql.functions import udtf
-
-    return udtf(CheckTable, returnType="name string, ok boolean, data map<string,string>")
+CheckFunction = Callable[[str], Iterable[tuple[str, bool, dict]]]
 
 
 def default_check(payload: str) -> list[tuple[str, bool, dict]]:
@@ -98,17 +83,43 @@ def default_check(payload: str) -> list[tuple[str, bool, dict]]:
     return [("default", True, {})]
 
 
-def run_check_table(
-    spark: SparkSession, inputs: DataFrame, table: UserDefinedTableFunction, registered: str
-) -> DataFrame:
-    """Rows of `inputs` (group, base, ts, payload, fail_count, resolve_count) through the check."""
-    spark.udtf.register(registered, table)
-    return spark.sql(
-        "SELECT i.group, i.base, c.name, i.ts, i.run_id, c.ok, c.data, i.fail_count, "
-        f"i.resolve_count FROM {{inputs}} AS i, LATERAL {registered}(i.base, i.payload) AS c",
-        inputs=inputs,
+def run_checks(inputs: DataFrame, function: CheckFunction = default_check) -> DataFrame:
+    """A user's check as a table function: every input row (base, payload and more) gives a good
+    base row and the check's own rows, or one bad base row with the error when the check raises.
+    Adds name, ok, data. Runs in Arrow batches where the rows are."""
+    kept = [c for c in inputs.columns if c != "payload"]
+    schema = T.StructType(
+        [inputs.schema[c] for c in kept]
+        + T.StructType.fromDDL("name string, ok boolean, data map<string,string>").fields
     )
 
+    def results(base: str, payload: str):
+        try:
+            found = list(function(payload))
+        except Exception as problem:  # the check is user code; its failure is a result
+            return [(base, False, {"error": str(problem)})]
+        own = [(n, bool(ok), {k: str(v) for k, v in data.items()}) for n, ok, data in found]
+        return [(base, True, {}), *own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            base, payload = (batch.column(names.index(c)).to_pylist() for c in ("base", "payload"))
+            found = [results(b, p) for b, p in zip(base, payload)]
+            repeat = [i for i, rows in enumerate(found) for _ in rows]
+            flat = [row for rows in found for row in rows]
+            table = batch.select(kept).take(pa.array(repeat, pa.int64()))
+            own = [
+                pa.array([r[0] for r in flat], pa.string()),
+                pa.array([r[1] for r in flat], pa.bool_()),
+                pa.array([list(r[2].items()) for r in flat], pa.map_(pa.string(), pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*table.columns, *own], names=[*kept, "name", "ok", "data"]
+            )
+
+    return inputs.mapInArrow(run, schema)
+
 
 def streaks(
     results: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None
@@ -165,8 +176,6 @@ def latest_values(
 
 def keep_last(results: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The newest n rows per key; each task passes on at most n per key."""
-    from pyspark.sql.window import Window
-
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return results.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
