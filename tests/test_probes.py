@@ -247,6 +247,9 @@ def test_mail_feed(spark):
         assert (row["total_mails"], row["matching_mails"], row["recent_mails"], row["ok"]) == (3, 1, recent, recent > 0)
     row = mail_feed.mail_counts(entries, times.at("2024-01-01T10:00:00"), "alerts@example.com", "Check").first()
     assert row["matching_mails"] == 0
+    bare = "<feed><entry><title>a</title></entry>" + entry("b", "2024-01-01T10:00:00Z", "n", "b@c") + "</feed>"
+    rows = documents.atom_entries(docs(spark, bare, "<feed/>")).collect()
+    assert [(r["title"], r["email"]) for r in rows] == [("a", None), ("b", "b@c")]
 
 
 # ---- snapshots -------------------------------------------------------------------------------

@@ -157,6 +157,18 @@ def test_status_job_equals_batch_and_survives_a_repeat(spark, tmp_path):
     assert store.read("current").collect() == before
 
 
+def test_status_store_compacts(spark, tmp_path):
+    rows = views.statuses(spark, SF)
+    store = StatusStore(spark, str(tmp_path), history_size=3, compact_every=2)
+    assert store.read("current").count() == 0
+    for i in range(5):
+        store.upsert(rows.filter(F.col("arrival") % 5 == i), i)
+    key = ["track", "ts", "arrival"]
+    _same(store.read("current").select(*key), status.latest_status(rows).select(*key))
+    _same(store.read("history").select(*key), status.status_history(rows, 3).select(*key))
+    assert store._committed() == (3, [0, 1, 2, 3, 4])
+
+
 def test_feed_jobs_write_outboxes(spark, tmp_path):
     root = str(tmp_path)
     pager = {

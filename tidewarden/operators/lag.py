@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_text, period_text, round_half_up
+from .segments import broadcast_if_small, materialize
 
 PARTITION = ["topic", "partition"]
 CONSUMER = ["env", "consumer_group", "topic"]
@@ -61,10 +62,12 @@ def measure_backlog(consumers: DataFrame, log: DataFrame, keys: list[str]) -> Da
     """Message and time delta per consumer partition.
 
     `consumers`: keys + partition, processed, earliest, latest. The two messages to look up per
-    partition form a small table that is joined to the log by exact offset, so the log is read
-    once, only its four columns, and header JSON is parsed for the matching rows alone.
+    partition form a table that is joined to the log by exact offset. It is counted first: as long
+    as it is small it is broadcast, and the log is read once, only its four columns, without a
+    shuffle. Header JSON is parsed for the matching rows alone.
     Adds messages, time, lost, ahead, error.
     """
+    consumers = materialize(consumers)
     following = F.col("processed") + 1
     bounded = consumers.select(
         "*",
@@ -79,12 +82,13 @@ def measure_backlog(consumers: DataFrame, log: DataFrame, keys: list[str]) -> Da
     lookups = bounded.select(*one, F.explode(both).alias("l")).select(
         *one, "l.at_broker", "l.offset"
     )
-    wanted = lookups.select(*PARTITION, "offset").distinct()
+    wanted = broadcast_if_small(lookups.select(*PARTITION, "offset").distinct())
     times = (
         log.select(*PARTITION, "offset", "header")
         .join(wanted, [*PARTITION, "offset"], "inner")
         .select(*PARTITION, "offset", header_millis("header").alias("_t"), F.lit(True).alias("_hit"))
     )
+    times = materialize(times)
     found = (
         lookups.join(times, [*PARTITION, "offset"], "left")
         .groupBy(*one)

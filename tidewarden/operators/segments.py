@@ -146,3 +146,10 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tidewarden-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A table that should be small, checkpointed and counted: with a broadcast hint when it has
+    at most `max_rows` rows, else left to an ordinary join."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

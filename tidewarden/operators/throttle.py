@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .ordered import OrderedRows, _column
-from .segments import HOT, SEG, Cuts, find_cuts, position, same_keys
+from .segments import (
+    HOT, MAX_SEGMENTS, SEG, Cuts, find_cuts, materialize, position, same_keys,
+)
 
 _HELPERS = ("_first", "_pos", "_gap", "_from")
+_FAN = 8
 
 
 def _fire(pos: np.ndarray, gap: int, last: int | None, strict: bool) -> tuple[list[int], int | None]:
@@ -85,32 +88,62 @@ def _segment_steps(strict: bool, keys: list[str]):
         # strict) but not below the entry before it
         limit = pos[entries] - gap
         merged = np.flatnonzero(np.append(chain[1:] != chain[:-1], True))
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        out[SEG] = [int(pdf[SEG].iloc[0])]
-        out["_limit"] = [limit[merged].tolist()]
-        out["_exit"] = [chain[merged].tolist()]
-        out["_lead"] = [int(chain[0])]
-        return pd.DataFrame(out)
+        return _step_row(
+            pdf, keys, int(pdf[SEG].iloc[0]), limit[merged], chain[merged], int(chain[0])
+        )
+
+    return run
+
+
+def _step_row(pdf, keys, at, limit, exits, lead) -> pd.DataFrame:
+    out = {k: [pdf[k].iloc[0]] for k in keys}
+    out.update(_at=[at], _limit=[limit.tolist()], _exit=[exits.tolist()], _lead=[lead])
+    return pd.DataFrame(out)
+
+
+def _after(limit: np.ndarray, exits: np.ndarray, last: np.ndarray, strict: bool) -> np.ndarray:
+    """Apply a step function: instants no row fires after stay as they are."""
+    i = np.searchsorted(limit, last, "right" if strict else "left")
+    return np.where(i < len(limit), exits[np.minimum(i, len(limit) - 1)], last)
+
+
+def _compose_segments(strict: bool, keys: list[str]):
+    """Consecutive step functions of a key as one; it has few steps, as chains run together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        limit, exits, lead = None, None, None
+        for l, e, first in zip(pdf["_limit"], pdf["_exit"], pdf["_lead"]):
+            l, e = np.asarray(l), np.asarray(e)
+            if limit is None:
+                limit, exits, lead = l, e, int(first)
+                continue
+            lead = int(_after(l, e, np.asarray([lead]), strict)[0])
+            later = l > limit[-1]
+            limit = np.concatenate([limit, l[later]])
+            exits = np.concatenate([_after(l, e, exits, strict), e[later]])
+            kept = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+            limit, exits = limit[kept], exits[kept]
+        return _step_row(pdf, keys, int(pdf["_at"].iloc[0]) // _FAN, limit, exits, lead)
 
     return run
 
 
-def _chain_segments(strict: bool, keys: list[str]):
-    """Walk the segments of one hot key in order: the instant carried into each of them."""
+def _walk_segments(strict: bool, keys: list[str]):
+    """Consecutive step functions from a known instant: the instant carried into each of them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEG)
-        last = int(pdf["_start"].iloc[0]) if pd.notna(pdf["_start"].iloc[0]) else None
+        pdf = pdf.sort_values("_at")
+        last = int(pdf["_from"].iloc[0]) if pd.notna(pdf["_from"].iloc[0]) else None
         carried = []
         for limit, exits, lead in zip(pdf["_limit"], pdf["_exit"], pdf["_lead"]):
             carried.append(last)
             if last is None:
                 last = int(lead)
-                continue
-            i = int(np.searchsorted(np.asarray(limit), last, "right" if strict else "left"))
-            if i < len(limit):
-                last = int(exits[i])
-        out = pdf[[*keys, SEG]].copy()
+            else:
+                at = np.asarray([last])
+                last = int(_after(np.asarray(limit), np.asarray(exits), at, strict)[0])
+        out = pdf[[*keys, "_at"]].copy()
         out["_from"] = pd.array(carried, dtype="Int64")
         return out
 
@@ -130,9 +163,10 @@ def greedy_throttle(
     the last fired one (`strict=False`: at least `gap` after). `start` presets the last fired
     instant. `gap` and `start` must be constant within a key. Returns the fired rows only.
 
-    One shuffle on the key and one streaming pass in Arrow batches; a hot key is cut into
-    segments that are summarised as step functions over its distinct instants, chained, and then
-    resolved in parallel.
+    One shuffle on the key and one streaming pass in Arrow batches. A hot key is cut into
+    segments; each is summarised as a step function over its distinct instants, the functions are
+    composed in groups of eight up a tree and walked back down, and then all segments are resolved
+    in parallel.
     """
     cuts = cuts or find_cuts(df, keys, order[0])
     start = F.lit(None).cast("long") if start is None else start
@@ -167,32 +201,52 @@ def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
         .groupBy(*keys, SEG, "_pos")
         .agg(F.first("_gap").alias("_gap"), F.first("_start").alias("_start"))
     )
-    key_fields = [df.schema[k] for k in keys] + [T.StructField(SEG, T.IntegerType())]
+    key_fields = [df.schema[k] for k in keys]
     longs = T.ArrayType(T.LongType())
-    steps = instants.groupBy(*keys, SEG).applyInPandas(
-        _segment_steps(strict, keys),
-        T.StructType(
-            key_fields
-            + [
-                T.StructField("_limit", longs),
-                T.StructField("_exit", longs),
-                T.StructField("_lead", T.LongType()),
-            ]
-        ),
+    step_schema = T.StructType(
+        key_fields
+        + [
+            T.StructField("_at", T.IntegerType()),
+            T.StructField("_limit", longs),
+            T.StructField("_exit", longs),
+            T.StructField("_lead", T.LongType()),
+        ]
+    )
+    walk_schema = T.StructType(
+        key_fields
+        + [T.StructField("_at", T.IntegerType()), T.StructField("_from", T.LongType())]
     )
-    starts = instants.groupBy(*keys).agg(F.first("_start").alias("_start"))
-    renamed = starts.select(*[F.col(k).alias("_k_" + k) for k in keys], "_start")
-    carried = (
-        steps.join(renamed, same_keys(steps, renamed, keys, "_k_"), "inner")
-        .drop(*["_k_" + k for k in keys])
-        .groupBy(*keys)
-        .applyInPandas(
-            _chain_segments(strict, keys),
-            T.StructType(key_fields + [T.StructField("_from", T.LongType())]),
+    steps = instants.groupBy(*keys, SEG).applyInPandas(_segment_steps(strict, keys), step_schema)
+    levels, span = [materialize(steps)], MAX_SEGMENTS
+    while span > _FAN:
+        above = levels[-1].groupBy(*keys, F.floor(F.col("_at") / _FAN)).applyInPandas(
+            _compose_segments(strict, keys), step_schema
         )
+        levels.append(materialize(above))
+        span = -(-span // _FAN)
+
+    def renamed(frame: DataFrame, *rest: str) -> DataFrame:
+        return frame.select(*[F.col(k).alias("_k_" + k) for k in keys], *rest)
+
+    known = renamed(
+        instants.groupBy(*keys).agg(F.first("_start").alias("_from")), F.lit(0).alias("_up"), "_from"
     )
+    walk = _walk_segments(strict, keys)
+    for level in reversed(levels):
+        up = F.floor(F.col("_at") / _FAN).cast("int") if level is not levels[-1] else F.lit(0)
+        placed = level.withColumn("_group", up)
+        same = same_keys(placed, known, keys, "_k_") & (F.col("_group") == F.col("_up"))
+        carried = (
+            placed.join(known, same, "inner")
+            .drop(*["_k_" + k for k in keys], "_up")
+            .groupBy(*keys, "_group")
+            .applyInPandas(walk, walk_schema)
+        )
+        known = renamed(carried, F.col("_at").alias("_up"), "_from")
     on = keys + [SEG]
-    carried = carried.select(*[F.col(c).alias("_k_" + c) for c in on], "_from")
+    carried = materialize(carried).select(
+        *[F.col(k).alias("_k_" + k) for k in keys], F.col("_at").alias("_k_" + SEG), "_from"
+    )
     by_seg = Window.partitionBy(*on).orderBy("_pos")
     marked = (
         instants.join(carried, same_keys(instants, carried, on, "_k_"), "left")
@@ -208,7 +262,11 @@ def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
         .sortWithinPartitions(*on, "_pos")
     )
     fired = marked.mapInArrow(
-        _fired_rows(strict), T.StructType(key_fields + [T.StructField("_at", T.LongType())])
+        _fired_rows(strict),
+        T.StructType(
+            key_fields
+            + [T.StructField(SEG, T.IntegerType()), T.StructField("_at", T.LongType())]
+        ),
     ).select(*[F.col(k).alias("_k_" + k) for k in keys], "_at")
     at_fired = rows.withColumn("_pos", pos).join(
         fired,

@@ -1,13 +1,17 @@
 """Status tables fed by micro-batches.
 
-Every batch writes a new version of both tables, read from the version before. A version counts
-once its marker is written, so a lost executor or a restart in the middle leaves the old version
-in force, and a batch that runs twice does nothing the second time. The tables hold at most one
-and `history_size` rows per track (more only for ties), so a rewrite is small next to the feed.
+A batch writes only what it changes: its newest status per track and its own trimmed history, as a
+delta. Both rules give the same answer on merged parts as on all rows, so a read merges the last
+base with the deltas after it, and every `compact_every` batches the merge is written as a new
+base. A write counts once its marker is there: a lost executor or a restart in the middle leaves
+the old state in force, and a batch that runs twice does nothing the second time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
@@ -17,41 +21,63 @@ TABLES = ("current", "history")
 
 
 class StatusStore:
-    def __init__(self, spark: SparkSession, root: str, history_size: int = status.HISTORY_SIZE):
-        self.spark, self.root, self.history_size = spark, root.rstrip("/"), history_size
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        history_size: int = status.HISTORY_SIZE,
+        compact_every: int = 20,
+    ):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.history_size, self.compact_every = history_size, compact_every
 
-    def _versions(self) -> list[int]:
-        path = f"{self.root}/committed"
+    def _committed(self) -> tuple[int | None, list[int]]:
+        """Number of the last base and the deltas; one small row per batch and base."""
         try:
-            rows = self.spark.read.schema("version bigint").json(path).distinct().collect()
-        except Exception as problem:  # no batch has been committed yet
-            if "PATH_NOT_FOUND" in str(problem):
-                return []
-            raise
-        return sorted(r["version"] for r in rows)
-
-    def _read(self, table: str, version: int | None) -> DataFrame:
-        if version is None:
+            marks = self.spark.read.schema("kind string, id bigint").json(f"{self.root}/committed")
+            rows = marks.distinct().collect()
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None, []
+        base = max((r["id"] for r in rows if r["kind"] == "base"), default=None)
+        return base, sorted(r["id"] for r in rows if r["kind"] == "delta")
+
+    def _commit(self, kind: str, number: int) -> None:
+        mark = self.spark.createDataFrame([(kind, number)], "kind string, id bigint")
+        mark.coalesce(1).write.mode("append").json(f"{self.root}/committed")
+
+    def _merge(self, table: str, parts: DataFrame) -> DataFrame:
+        if table == "current":
+            return status.latest_status(parts)
+        return status.status_history(parts, self.history_size)
+
+    def _read(self, table: str, base: int | None, deltas: list[int]) -> DataFrame:
+        paths = [f"{self.root}/{table}/base={base}"] if base is not None else []
+        paths += [f"{self.root}/{table}/delta={d}" for d in deltas if base is None or d > base]
+        if not paths:
             return self.spark.createDataFrame([], schemas.STATUS_TABLE)
-        return self.spark.read.schema(schemas.STATUS_TABLE).parquet(
-            f"{self.root}/{table}/version={version}"
-        )
+        parts = [self.spark.read.schema(schemas.STATUS_TABLE).parquet(p) for p in paths]
+        return self._merge(table, reduce(DataFrame.unionByName, parts))
 
     def read(self, table: str) -> DataFrame:
         """The committed `current` or `history` table."""
-        versions = self._versions()
-        return self._read(table, versions[-1] if versions else None)
+        return self._read(table, *self._committed())
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """`foreachBatch` body."""
-        versions = self._versions()
-        if batch_id in versions:
+        base, deltas = self._committed()
+        if batch_id in deltas:
             return
-        last = versions[-1] if versions else None
-        batch = batch.select(*self._read("current", None).columns)
-        current = status.upsert(self._read("current", last), batch)
-        history = status.append_history(self._read("history", last), batch, self.history_size)
-        for table, df in zip(TABLES, (current, history)):
-            df.write.mode("overwrite").parquet(f"{self.root}/{table}/version={batch_id}")
-        marker = self.spark.createDataFrame([(batch_id,)], "version bigint")
-        marker.coalesce(1).write.mode("append").json(f"{self.root}/committed")
+        columns = self._read("current", None, []).columns
+        rows = batch.select(*columns)
+        for table in TABLES:
+            part = self._merge(table, rows)
+            part.write.mode("overwrite").parquet(f"{self.root}/{table}/delta={batch_id}")
+        self._commit("delta", batch_id)
+        deltas.append(batch_id)
+        if len([d for d in deltas if base is None or d > base]) >= self.compact_every:
+            for table in TABLES:
+                merged = self._read(table, base, deltas)
+                merged.write.mode("overwrite").parquet(f"{self.root}/{table}/base={batch_id}")
+            self._commit("base", batch_id)

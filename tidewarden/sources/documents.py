@@ -12,6 +12,10 @@ from ..functions.times import instant
 PIPE = "struct<pipeId:string,intervals:array<string>,more:struct<log:string>>"
 PIPELINE = "map<string,struct<pipes:array<struct<id:string,channel:string>>>>"
 MASTER = "hostname string, id string, pid string, port int, version string"
+FEED = (
+    "entry array<struct<title:string,summary:string,modified:string,issued:string,"
+    "author:struct<name:string,email:string>>>"
+)
 JOB_LIST = "struct<results:array<struct<pipeline:string,jobs:array<string>>>>"
 JOB_EXPLAIN = "struct<results:struct<explanation:array<map<string,string>>>>"
 
@@ -160,28 +164,14 @@ def kafka_inputs(df: DataFrame) -> DataFrame:
 
 
 def atom_entries(df: DataFrame) -> DataFrame:
-    """Entries of an Atom mail feed, whatever its namespace."""
-
-    def texts(path: str) -> Column:
-        inner = "/".join(f"*[local-name()='{step}']" for step in path.split("/"))
-        return F.xpath("doc", F.lit(f"//*[local-name()='entry']/{inner}/text()"))
-
-    names = {
-        "title": "title",
-        "summary": "summary",
-        "modified": "modified",
-        "issued": "issued",
-        "name": "author/name",
-        "email": "author/email",
-    }
-    zipped = F.arrays_zip(*[texts(p).alias(n) for n, p in names.items()])
-    each = df.select(*_rest(df), F.explode(zipped).alias("e"))
+    """Entries of an Atom mail feed; a feed that cannot be parsed has none."""
+    each = df.select(*_rest(df), F.explode(F.from_xml("doc", FEED)["entry"]).alias("e"))
     return each.select(
         *_rest(df),
         "e.title",
         F.trim("e.summary").alias("summary"),
-        F.col("e.name").alias("author"),
-        "e.email",
+        F.col("e.author.name").alias("author"),
+        F.col("e.author.email").alias("email"),
         instant("e.modified").alias("modified"),
         instant("e.issued").alias("issued"),
     )
