@@ -6,9 +6,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.operators import checks, events, freshness, incidents, status, throttle, topology
+from tidewarden.operators import (
+    checks, events, freshness, incidents, lag, silence, status, throttle, topology,
+)
 from tidewarden.plans import views
-from tidewarden.sinks.status_store import StatusStore
+from tidewarden.sinks.status_store import StatusStore, create_status_tables
 from tidewarden.sources import feeds
 from tidewarden.streaming import jobs, processors, rules
 
@@ -136,6 +138,74 @@ def test_load_grace_and_counter(spark, tmp_path):
     _same(_run(out, "counter", tmp_path / "counter"), rises)
 
 
+def test_session_damped_and_backlog(spark, tmp_path):
+    rows = _observed(spark).select(
+        "user_id", "event_id", "ts", "at", F.lit("pk").alias("pager_key"),
+        ((F.col("user_id") % 3) * 1_800_000).alias("period_ms"),
+        (F.unix_micros("ts") - F.floor("value") * 60_000_000).alias("oldest"),
+    ).withColumns({"min_time": F.timestamp_micros("oldest"), "period": F.col("period_ms") * 1000})
+    source = _as_stream(spark, rows.drop("ts", "min_time"), str(tmp_path / "in"))
+    order, start = ["ts", "event_id"], views.START_US
+    for name, rule, want in (
+        ("session", rules.session(HOUR), throttle.session_throttle(rows, ["user_id"], order, HOUR)),
+        (
+            "damped",
+            rules.greedy(HOUR, strict=False, start=start),
+            silence.damped_heartbeats(rows, ["user_id"], order, HOUR // 1000, views.start()),
+        ),
+    ):
+        out = processors.apply_rule(source, rule, ["user_id"], ["at", "event_id"], "user_id bigint, event_id bigint")
+        _same(_run(out, name, tmp_path / name), want.select("user_id", "event_id"))
+    pages = incidents.backlog_pager(rows, ["user_id"], order, 2 * HOUR)
+    out = processors.apply_rule(
+        source, rules.backlog(2 * HOUR), ["user_id"], ["at", "event_id"], "event_id bigint, action string"
+    )
+    _same(_run(out, "backlog", tmp_path / "backlog"), pages.select("event_id", "action"))
+
+
+def test_failed_jobs(spark, tmp_path):
+    rows = views.events(spark, SF).select(
+        F.col("event_type").alias("env"), F.date_trunc("day", "ts").alias("ts"),
+        F.concat(F.lit("job"), (F.col("user_id") % 4).cast("string")).alias("job"),
+        ((F.col("user_id") % 4) * 86_400_000).alias("throttle_ms"), "value",
+    )
+    failed = rows.filter(F.col("value") > 90).select("env", "job", "ts", "throttle_ms", F.lit("pk").alias("pager_key")).distinct()
+    probes = rows.select("env", "ts").distinct()
+    want = incidents.failed_job_pager(probes, failed).select("env", "job", F.unix_micros("ts"), "action")
+    pair = F.struct("job", (F.col("throttle_ms") * 1000).alias("gap"))
+    listed = failed.groupBy("env", "ts").agg(F.to_json(F.collect_list(pair)).alias("failing"))
+    whole = probes.join(listed, ["env", "ts"], "left").select("env", F.unix_micros("ts").alias("at"), "failing")
+
+    def rule(state, row):
+        found = json.loads(row["failing"] or "[]")
+        return rules.failed_jobs(state, {**row, "jobs": [[f["job"], f["gap"]] for f in found]})
+
+    stream = processors.apply_rule(
+        _as_stream(spark, whole, str(tmp_path / "in")), rule, ["env"], ["at"],
+        "env string, job string, at bigint, action string",
+    )
+    _same(_run(stream, "jobs", tmp_path), want)
+
+
+def test_status_tables_are_made_once(spark, tmp_path):
+    for _ in range(2):
+        create_status_tables(spark, "default", str(tmp_path))
+    columns = spark.table("default.status_current").columns
+    assert columns[:2] == ["ts", "service"] and spark.table("default.status_history").count() == 0
+    for name in ("current", "history"):
+        spark.sql(f"DROP TABLE default.status_{name}")
+
+
+def test_log_stream_reads_on(spark, tmp_path):
+    schema = "system string, stream string, partition int, offset bigint, log_offset bigint"
+    rows = [("s", "t", 0, 5, 1), ("s", "t", 0, 7, 2), ("s", "t", 1, 1, 3)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = feeds.read_log(spark, str(tmp_path / "in"), schema)
+    out = _run(stream, "log", tmp_path)
+    assert sorted(r["offset"] for r in lag.latest_checkpoints(out).collect()) == [1, 7]
+    assert feeds.read_log(spark, str(tmp_path / "in"), schema, streaming=False).count() == 3
+
+
 def test_status_job_equals_batch_and_survives_a_repeat(spark, tmp_path):
     rows = views.statuses(spark, SF)
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")

@@ -58,6 +58,10 @@ def with_metadata(offsets: DataFrame, brokers: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("_known").isNull(), message)).drop("_known")
 
 
+def distinct_topics(offsets: DataFrame) -> DataFrame:
+    return offsets.select("topic").distinct()
+
+
 def measure_backlog(consumers: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Message and time delta per consumer partition.
 

@@ -30,6 +30,13 @@ def pipe_channels(pipelines: DataFrame) -> DataFrame:
     )
 
 
+def complete_environments(work: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """Work list and pipelines of the environments that delivered both."""
+    return work.withColumnRenamed("doc", "work_doc").join(
+        pipelines.withColumnRenamed("doc", "pipelines_doc"), "env", "inner"
+    )
+
+
 def pipe_backlog(
     channels: DataFrame,
     work: DataFrame,

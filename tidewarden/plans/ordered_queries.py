@@ -118,6 +118,58 @@ def topic_stat(spark, sf):
     return _stats(spark, sf).drop("alert_ms", "pager_ms")
 
 
+@query("distinct_topics", "SELECT DISTINCT event_type AS topic FROM events")
+def distinct_topics(spark, sf):
+    return lag.distinct_topics(views.log(spark, sf))
+
+
+@query(
+    "offset_metadata",
+    f"WITH {LOG_SQL}, c AS (SELECT DISTINCT event_type AS topic, CAST(user_id % 11 AS INTEGER) AS part FROM e) "
+    "SELECT c.topic, c.part AS partition, b.latest, CASE WHEN b.topic IS NULL THEN 'Couldn''t fetch metadata for [' || c.topic || ',' || c.part || ']' END AS error "
+    "FROM c LEFT JOIN v_broker b ON b.topic = c.topic AND b.part = c.part",
+)
+def offset_metadata(spark, sf):
+    """Partitions 8 to 10 are unknown to the brokers."""
+    stored = views.events(spark, sf).select(
+        F.col("event_type").alias("topic"), (F.col("user_id") % 11).cast("int").alias("partition")
+    ).distinct()
+    out = lag.with_metadata(stored, lag.broker_offsets(views.log(spark, sf)))
+    return out.select("topic", "partition", "latest", "error")
+
+
+_PROBE_SQL = E_SQL + f""", d AS (
+  SELECT event_type AS topic, t - t % {6 * HOUR_US} AS t, CAST(user_id % 8 AS INTEGER) AS partition, CAST(floor(sum(value) * 1000) AS BIGINT) AS ms
+  FROM e GROUP BY 1, 2, 3),
+  p AS (SELECT topic, t, count(*) FILTER (ms > 150000) > 0 AS alert, count(*) FILTER (ms > 300000) > 0 AS failing FROM d GROUP BY 1, 2),
+  q AS (SELECT *, lag(failing) OVER (PARTITION BY topic ORDER BY t) AS was FROM p)"""
+
+
+@query(
+    "lag_incidents",
+    f"WITH {_PROBE_SQL} SELECT 'kafka/consumer/main/cg/' || topic AS incident_key, t AS ts_us, alert, "
+    "CASE WHEN failing THEN 'trigger' ELSE 'resolve' END AS action FROM q WHERE failing OR was",
+)
+def lag_incidents(spark, sf):
+    """Four probes a day; a partition lags by the sum of its values in seconds."""
+    keys = ["env", "consumer_group", "topic", "ts"]
+    deltas = (
+        views.events(spark, sf)
+        .groupBy(
+            F.lit("main").alias("env"),
+            F.lit("cg").alias("consumer_group"),
+            F.col("event_type").alias("topic"),
+            F.timestamp_micros(us() - us() % (6 * HOUR_US)).alias("ts"),
+            (F.col("user_id") % 8).cast("int").alias("partition"),
+        )
+        .agg(F.floor(F.sum("value") * 1000).alias("time"), F.count(F.lit(1)).alias("messages"))
+        .withColumns({"alert_ms": F.lit(150_000), "pager_ms": F.lit(300_000)})
+    )
+    found = lag.lag_conditions(lag.topic_stat(deltas, keys).withColumn("pager_key", F.lit("pk")))
+    out = incidents.every_failing(found, ["incident_key"], ["ts"])
+    return out.select("incident_key", us().alias("ts_us"), "alert", "action")
+
+
 def _period_sql(ms: str) -> str:
     s = f"(({ms}) // 1000)"
     return (

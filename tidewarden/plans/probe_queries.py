@@ -212,6 +212,22 @@ def pipe_channels(spark, sf):
     return pipes.pipe_channels(documents.pipelines(docs))
 
 
+@query(
+    "complete_environments",
+    "WITH w AS (SELECT DISTINCT o_custkey % 100 AS env FROM orders), p AS (SELECT CAST(s_nationkey AS BIGINT) AS env, s_suppkey FROM supplier) "
+    "SELECT env, 'p' || s_suppkey AS pipe_id FROM p SEMI JOIN w USING (env)",
+)
+def complete_environments(spark, sf):
+    """Pipes of the environments with a work list."""
+    listed = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("env"),
+        F.format_string('{"x": {"pipes": [{"id": "p%d"}]}}', F.col("s_suppkey")).alias("doc"),
+    )
+    both = pipes.complete_environments(_work_documents(spark, sf), listed)
+    rows = both.select("env", F.col("pipelines_doc").alias("doc"))
+    return pipes.pipe_channels(documents.pipelines(rows)).select("env", "pipe_id")
+
+
 # ---- snapshots -------------------------------------------------------------------------------
 
 

@@ -20,6 +20,15 @@ from ..operators import status
 TABLES = ("current", "history")
 
 
+def create_status_tables(spark: SparkSession, database: str, location: str) -> None:
+    """Catalog tables for a written-out state, made only where they are missing."""
+    for table in TABLES:
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {database}.status_{table} ({schemas.STATUS_TABLE}) "
+            f"USING parquet LOCATION '{location}/{table}'"
+        )
+
+
 class StatusStore:
     def __init__(
         self,

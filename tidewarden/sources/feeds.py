@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..operators import events
 
 PARSERS = {
@@ -63,9 +62,17 @@ def decode(df: DataFrame, feed: str) -> DataFrame:
     return PARSERS[feed](exploded)
 
 
-def schema_of(feed: str) -> str:
-    return schemas.FEEDS[feed]
+def read_log(
+    spark: SparkSession, path: str, schema: str, streaming: bool = True, max_files: int = 1000
+) -> DataFrame:
+    """A log table (messages, checkpoints). As a stream it goes on from the query's checkpoint;
+    without one, or with a new one, it starts again from the beginning."""
+    if streaming:
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+        return reader.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def received(df: DataFrame, clock: Column) -> DataFrame:
+    """Receipt time of heartbeats from an explicit clock."""
     return df.withColumn("received_at", clock)

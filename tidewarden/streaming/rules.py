@@ -12,9 +12,9 @@ from collections.abc import Callable
 Rule = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
-def greedy(gap: int, strict: bool = True) -> Rule:
+def greedy(gap: int, strict: bool = True, start: int | None = None) -> Rule:
     def rule(state, row):
-        t, last = row["at"], state.get("last")
+        t, last = row["at"], state.get("last", start)
         quiet = last is not None and (t <= last + gap if strict else t < last + gap)
         return (state, []) if quiet else ({"last": t}, [{"action": "trigger"}])
 
