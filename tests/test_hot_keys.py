@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.times import at
 from tidewarden.operators import checks, digest, incidents, silence, throttle
-from tidewarden.operators.ordered import OrderedRows, runs
+from tidewarden.operators.ordered import OrderedRows
 from tidewarden.operators.segments import Cuts, find_cuts
 
 BASE = 1_700_000_000_000_000
@@ -90,16 +90,27 @@ def test_null_keys_form_one_group(spark, mode):
     assert out.filter(F.col("key").isNull()).agg(F.max("n")).first()[0] == 80
 
 
-def test_run_start(spark, mode):
-    rows = _rows(4)
-    out = runs(OrderedRows(_frame(spark, rows), ["key"], ["ts", "id"]), "bad", "id").df
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.97])
+def test_runs(spark, mode, share):
+    """Runs within and across segments, up to runs over many whole segments, with null states."""
+    rng = random.Random(share)
+    rows = [(k, t, i, rng.random() < share) for k, t, i, _ in _rows(4)]
+    state = F.when(F.col("id") % 9 != 0, F.col("bad"))
+    out = OrderedRows(_frame(spark, rows), ["key"], ["ts", "id"]).runs(a=state, b="bad").df
     want = {}
     for group in _by_key(rows).values():
-        start, last = None, None
-        for _, _, i, bad in group:
-            start, last = (i, bad) if bad != last else (start, last)
-            want[i] = start
-    assert {r["id"]: r["run_start"] for r in out.collect()} == want
+        open_run = {"a": None, "b": None}
+        for _, t, i, bad in group:
+            found = ()
+            for name, value in (("a", bad if i % 9 else None), ("b", bad)):
+                run = open_run[name]
+                run = (value, t, 1) if run is None or run[0] != value else (value, run[1], run[2] + 1)
+                open_run[name] = run
+                found += run[1:]
+            want[i] = found
+    us = [F.unix_micros("a_start").alias("at"), F.unix_micros("b_start").alias("bt")]
+    got = out.select("id", "a_length", "b_length", *us).collect()
+    assert {r["id"]: (r["at"], r["a_length"], r["bt"], r["b_length"]) for r in got} == want
 
 
 @pytest.mark.parametrize("strict", [True, False])

@@ -128,11 +128,8 @@ def streaks(
     has its last resolve_count good, else other; failure is tested first and repeats.
     Rows carry ok, fail_count, resolve_count (both at least 1)."""
     columns = results.columns
-    rows = OrderedRows(results.withColumn("_one", F.lit(1)), keys, order, cuts)
-    rows = rows.previous(_before=F.col("ok")).running(_n=F.col("_one"))
-    changed = F.col("_before").isNull() | (F.col("_before") != F.col("ok"))
-    rows = rows.last_known(inclusive=True, _start=F.when(changed, F.col("_n")))
-    streak = F.col("_n") - F.col("_start") + 1
+    rows = OrderedRows(results, keys, order, cuts).runs(_ok=F.col("ok"))
+    streak = F.col("_ok_length")
     rows = rows.with_columns(
         _bad=~F.col("ok") & (streak >= F.col("fail_count")),
         _good=F.col("ok") & (streak >= F.col("resolve_count")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import lag_seconds, shift
 from .incidents import throttled
-from .ordered import OrderedRows, runs
+from .ordered import OrderedRows
 
 STALE_THROTTLE_MS = 3_600_000
 LOAD_GRACE_MS = 15 * 60_000
@@ -48,11 +48,7 @@ def load_grace(
 ) -> DataFrame:
     """Probes that still find segments to load more than the grace period after the first of the
     current run of non-zero loads. Adds started_at."""
-    rows = OrderedRows(loads.withColumn("_loading", F.col("load") > 0), keys, order)
-    rows = runs(rows, "_loading", "ts")
-    overdue = F.col("_loading") & (shift("run_start", grace_ms) < F.col("ts"))
-    return (
-        rows.df.filter(overdue)
-        .withColumnRenamed("run_start", "started_at")
-        .drop("_loading")
-    )
+    loading = F.col("load") > 0
+    rows = OrderedRows(loads, keys, order).runs(_loading=loading)
+    overdue = loading & (shift("_loading_start", grace_ms) < F.col("ts"))
+    return rows.df.filter(overdue).select(*loads.columns, F.col("_loading_start").alias("started_at"))

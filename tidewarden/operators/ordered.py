@@ -157,13 +157,75 @@ class OrderedRows:
         }
         return self._with(df.select(*kept, *[c.alias(n) for n, c in total.items()]))
 
+    def runs(self, **states: Column | str) -> "OrderedRows":
+        """For each state its current run of equal consecutive values: `<name>_start`, the first
+        order value of the run, and `<name>_length`, the rows of the run up to this one."""
+        w = self._window
+        frame = w.rowsBetween(Window.unboundedPreceding, 0)
+        df = self._df.select(
+            "*",
+            F.row_number().over(w).alias("_rn"),
+            *[F.struct(_column(e).alias("v")).alias("_s_" + n) for n, e in states.items()],
+        )
+        df = df.select("*", *[F.lag("_s_" + n).over(w).alias("_b_" + n) for n in states])
+
+        def changed(n: str) -> Column:
+            return F.col("_b_" + n).isNull() | ~F.col("_s_" + n).eqNullSafe(F.col("_b_" + n))
+
+        began = F.struct(F.col("_rn").alias("rn"), F.col(self.order[0]).alias("at"))
+        df = df.select(
+            "*", *[F.last(F.when(changed(n), began), True).over(frame).alias("_i_" + n) for n in states]
+        )
+        length = {n: F.col("_rn") - F.col(f"_i_{n}.rn") + 1 for n in states}
+        start = {n: F.col(f"_i_{n}.at") for n in states}
+        if self.split:
+            df = self._join_carry(df, self._run_carry(df, states, length), ["_c_" + n for n in states])
+            for n in states:
+                goes_on = (F.col(f"_i_{n}.rn") == 1) & F.col("_s_" + n).eqNullSafe(F.col(f"_c_{n}.state"))
+                goes_on = F.col("_c_" + n).isNotNull() & goes_on
+                length[n] = F.when(goes_on, length[n] + F.col(f"_c_{n}.rows")).otherwise(length[n])
+                start[n] = F.when(goes_on, F.col(f"_c_{n}.at")).otherwise(start[n])
+        kept = [c for c in self._df.columns]
+        return self._with(
+            df.select(
+                *kept,
+                *[start[n].alias(n + "_start") for n in states],
+                *[length[n].cast("long").alias(n + "_length") for n in states],
+            )
+        )
 
-def runs(rows: OrderedRows, state: Column | str, order_value: Column | str) -> OrderedRows:
-    """Runs of equal consecutive `state`: adds `run_start` (the first row's order value)."""
-    state = _column(state)
-    rows = rows.with_columns(_state=state, _here=F.lit(True))
-    rows = rows.previous(_before=F.col("_state"), _was=F.col("_here"))
-    changed = F.col("_was").isNull() | ~F.col("_state").eqNullSafe(F.col("_before"))
-    rows = rows.last_known(inclusive=True, run_start=F.when(changed, _column(order_value)))
-    kept = [c for c in rows.df.columns if c not in ("_state", "_here", "_before", "_was")]
-    return rows.select(*kept)
+    def _run_carry(self, df: DataFrame, states: dict, length: dict) -> DataFrame:
+        """The run that is open at the end of the segments before each segment. A segment that is
+        one run, of the state the segment before ended in, prolongs that one's open run."""
+        last = {
+            n: F.struct(
+                F.col("_s_" + n).alias("state"),
+                length[n].cast("long").alias("rows"),
+                F.col(f"_i_{n}.at").alias("at"),
+                (F.col(f"_i_{n}.rn") == 1).alias("whole"),
+            )
+            for n in states
+        }
+        ends = (
+            df.filter(HOT)
+            .groupBy(*self.keys, SEG)
+            .agg(
+                *[F.max_by(last[n], self._order_struct).alias("_l_" + n) for n in states],
+                *[F.min_by("_s_" + n, self._order_struct).alias("_f_" + n) for n in states],
+            )
+        )
+        by_key = Window.partitionBy(*self.keys).orderBy(SEG)
+        for n in states:
+            before = F.lag(f"_l_{n}.state").over(by_key)
+            prolongs = F.col(f"_l_{n}.whole") & before.isNotNull() & before.eqNullSafe(F.col("_f_" + n))
+            ends = ends.withColumn("_new", F.when(prolongs, 0).otherwise(1))
+            ends = ends.withColumn("_chain", F.sum("_new").over(by_key))
+            in_chain = Window.partitionBy(*self.keys, "_chain").orderBy(SEG)
+            so_far = in_chain.rowsBetween(Window.unboundedPreceding, 0)
+            open_run = F.struct(
+                F.col(f"_l_{n}.state").alias("state"),
+                F.sum(f"_l_{n}.rows").over(so_far).alias("rows"),
+                F.first(f"_l_{n}.at").over(so_far).alias("at"),
+            )
+            ends = ends.withColumn("_open", open_run).withColumn("_c_" + n, F.lag("_open").over(by_key))
+        return ends

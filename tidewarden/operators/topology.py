@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import period_text
 from ..functions.times import millis
-from .ordered import OrderedRows, runs
+from .ordered import OrderedRows
 
 PARTITION = ["topic", "partition"]
 
@@ -57,13 +57,13 @@ def partition_history(changes: DataFrame) -> DataFrame:
         offline=~gone & (F.size(isr) == 0),
         under_replicated=~gone & under_replicated(assigned, isr),
     )
-    rows = runs(rows, "offline", "ts").with_columns(
-        offline_since=F.when(F.col("offline"), F.col("run_start"))
-    )
-    rows = runs(rows, "under_replicated", "ts").with_columns(
-        under_replicated_since=F.when(F.col("under_replicated"), F.col("run_start"))
-    )
-    return rows.df.drop("run_start")
+    out = rows.runs(offline="offline", under_replicated="under_replicated").df
+    return out.withColumns(
+        {
+            f"{state}_since": F.when(F.col(state), F.col(f"{state}_start"))
+            for state in ("offline", "under_replicated")
+        }
+    ).drop("offline_start", "offline_length", "under_replicated_start", "under_replicated_length")
 
 
 def partition_state(history: DataFrame) -> DataFrame:
