@@ -133,13 +133,13 @@ def test_outboxes(spark):
     payloads = [json.loads(r["payload"]) for r in posted.collect()]
     assert payloads[0]["event_type"] == "trigger"
     assert payloads[1] == {"service_key": "k", "incident_key": "i", "event_type": "resolve"}
-    mails = outbox.pager_mails(posted, "hq").collect()
-    assert [m["subject"] for m in mails] == ["[SERVICE_FAILURE] hq: Failed to post PagerDuty event"]
+    mails = outbox.pager_mails(posted, "ops").collect()
+    assert [m["subject"] for m in mails] == ["[SERVICE_FAILURE] ops: Failed to post PagerDuty event"]
     quiet = outbox.pager_outbox(actions, quiet=True)
     assert {r["route"] for r in quiet.collect()} == {"withheld"}
-    assert outbox.pager_mails(quiet, "hq").count() == 0
-    mailed = outbox.pager_mails(outbox.pager_outbox(actions, mail_only=True), "hq")
-    assert {r["subject"] for r in mailed.collect()} == {"[DEFAULT] hq: PagerDuty event"}
+    assert outbox.pager_mails(quiet, "ops").count() == 0
+    mailed = outbox.pager_mails(outbox.pager_outbox(actions, mail_only=True), "ops")
+    assert {r["subject"] for r in mailed.collect()} == {"[DEFAULT] ops: PagerDuty event"}
 
 
 def test_sinks_write_partitioned(spark, tmp_path):

@@ -162,35 +162,36 @@ class OrderedRows:
         order value of the run, and `<name>_length`, the rows of the run up to this one."""
         w = self._window
         frame = w.rowsBetween(Window.unboundedPreceding, 0)
-        df = self._df.select(
+        df = self._df.select("*", *[_column(e).alias("_s_" + n) for n, e in states.items()])
+        df = df.select(
             "*",
             F.row_number().over(w).alias("_rn"),
-            *[F.struct(_column(e).alias("v")).alias("_s_" + n) for n, e in states.items()],
+            *[F.lag("_s_" + n).over(w).alias("_b_" + n) for n in states],
         )
-        df = df.select("*", *[F.lag("_s_" + n).over(w).alias("_b_" + n) for n in states])
 
-        def changed(n: str) -> Column:
-            return F.col("_b_" + n).isNull() | ~F.col("_s_" + n).eqNullSafe(F.col("_b_" + n))
+        def at_change(n: str, value: str) -> Column:
+            same = F.col("_s_" + n).eqNullSafe(F.col("_b_" + n))
+            return F.last(F.when((F.col("_rn") == 1) | ~same, F.col(value)), True).over(frame)
 
-        began = F.struct(F.col("_rn").alias("rn"), F.col(self.order[0]).alias("at"))
         df = df.select(
-            "*", *[F.last(F.when(changed(n), began), True).over(frame).alias("_i_" + n) for n in states]
+            "*",
+            *[at_change(n, "_rn").alias("_i_" + n) for n in states],
+            *[at_change(n, self.order[0]).alias("_t_" + n) for n in states],
         )
-        length = {n: F.col("_rn") - F.col(f"_i_{n}.rn") + 1 for n in states}
-        start = {n: F.col(f"_i_{n}.at") for n in states}
+        length = {n: (F.col("_rn") - F.col("_i_" + n) + 1).cast("long") for n in states}
+        start = {n: F.col("_t_" + n) for n in states}
         if self.split:
             df = self._join_carry(df, self._run_carry(df, states, length), ["_c_" + n for n in states])
             for n in states:
-                goes_on = (F.col(f"_i_{n}.rn") == 1) & F.col("_s_" + n).eqNullSafe(F.col(f"_c_{n}.state"))
-                goes_on = F.col("_c_" + n).isNotNull() & goes_on
+                same = F.col("_s_" + n).eqNullSafe(F.col(f"_c_{n}.state"))
+                goes_on = F.col("_c_" + n).isNotNull() & (F.col("_i_" + n) == 1) & same
                 length[n] = F.when(goes_on, length[n] + F.col(f"_c_{n}.rows")).otherwise(length[n])
                 start[n] = F.when(goes_on, F.col(f"_c_{n}.at")).otherwise(start[n])
-        kept = [c for c in self._df.columns]
         return self._with(
             df.select(
-                *kept,
+                *self._df.columns,
                 *[start[n].alias(n + "_start") for n in states],
-                *[length[n].cast("long").alias(n + "_length") for n in states],
+                *[length[n].alias(n + "_length") for n in states],
             )
         )
 
@@ -200,9 +201,9 @@ class OrderedRows:
         last = {
             n: F.struct(
                 F.col("_s_" + n).alias("state"),
-                length[n].cast("long").alias("rows"),
-                F.col(f"_i_{n}.at").alias("at"),
-                (F.col(f"_i_{n}.rn") == 1).alias("whole"),
+                length[n].alias("rows"),
+                F.col("_t_" + n).alias("at"),
+                (F.col("_i_" + n) == 1).alias("whole"),
             )
             for n in states
         }
@@ -211,13 +212,14 @@ class OrderedRows:
             .groupBy(*self.keys, SEG)
             .agg(
                 *[F.max_by(last[n], self._order_struct).alias("_l_" + n) for n in states],
-                *[F.min_by("_s_" + n, self._order_struct).alias("_f_" + n) for n in states],
+                *[F.min_by(F.struct("_s_" + n), self._order_struct).alias("_f_" + n) for n in states],
             )
         )
         by_key = Window.partitionBy(*self.keys).orderBy(SEG)
         for n in states:
-            before = F.lag(f"_l_{n}.state").over(by_key)
-            prolongs = F.col(f"_l_{n}.whole") & before.isNotNull() & before.eqNullSafe(F.col("_f_" + n))
+            before = F.lag(F.struct(f"_l_{n}.state")).over(by_key)
+            same = before["state"].eqNullSafe(F.col(f"_f_{n}._s_{n}"))
+            prolongs = F.col(f"_l_{n}.whole") & before.isNotNull() & same
             ends = ends.withColumn("_new", F.when(prolongs, 0).otherwise(1))
             ends = ends.withColumn("_chain", F.sum("_new").over(by_key))
             in_chain = Window.partitionBy(*self.keys, "_chain").orderBy(SEG)

@@ -410,7 +410,7 @@ def pager_outbox(spark, sf):
 
 @query(
     "pager_mails",
-    f"WITH {_PAGER_SQL} SELECT '[SERVICE_FAILURE] hq: Failed to post PagerDuty event' AS subject, "
+    f"WITH {_PAGER_SQL} SELECT '[SERVICE_FAILURE] ops: Failed to post PagerDuty event' AS subject, "
     "type, count(*) AS n FROM v_pager WHERE page AND event_id % 5 = 0 GROUP BY 1, 2",
 )
 def pager_mails(spark, sf):
@@ -423,7 +423,7 @@ def pager_mails(spark, sf):
         "details",
         F.when(F.col("event_id") % 5 == 0, 503).otherwise(202).alias("post_status"),
     )
-    mails = outbox.pager_mails(outbox.pager_outbox(rows), "hq")
+    mails = outbox.pager_mails(outbox.pager_outbox(rows), "ops")
     return mails.groupBy("subject", F.get_json_object("body", "$.event_type").alias("type")).agg(
         F.count(F.lit(1)).alias("n")
     )
