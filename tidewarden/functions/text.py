@@ -10,6 +10,11 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_half_up(x: Column) -> Column:
     """Nearest long, halves towards positive infinity."""
     return F.floor(x + F.lit(0.5)).cast("long")
@@ -93,16 +98,19 @@ def merge_maps(left: Column, right: Column) -> Column:
 
 
 def split_pair(text: Column | str, separator: str) -> Column:
-    """`a<sep>b` as a two-element array, null for any other number of parts."""
-    parts = F.split(_c(text), separator)
-    return F.when(F.size(parts) == 2, parts)
+    """`a<sep>b` as a two-element array, null for any other number of parts. `separator` is a
+    regular expression."""
+    return bind(F.split(_c(text), separator), lambda p: F.when(F.size(p) == 2, p))
 
 
 def host_port(text: Column | str) -> Column:
     """`host:port` as struct(host, port), null when it has no such shape."""
-    pair = split_pair(F.trim(_c(text)), ":")
-    port = F.element_at(pair, 2).try_cast("int")
-    return F.when(port.isNotNull(), F.struct(pair[0].alias("host"), port.alias("port")))
+
+    def endpoint(pair: Column) -> Column:
+        port = F.element_at(pair, 2).try_cast("int")
+        return F.when(port.isNotNull(), F.struct(pair[0].alias("host"), port.alias("port")))
+
+    return bind(split_pair(F.trim(_c(text)), ":"), endpoint)
 
 
 def track_text(track: Column | str) -> Column:

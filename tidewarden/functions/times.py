@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 _PERIOD = (
     r"^P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:[.](\d{1,3})\d*)?S)?)?$"
 )
@@ -27,14 +29,18 @@ def period_millis(text: str) -> int:
 def period_millis_column(text: Column | str) -> Column:
     """The same for a column; null where the text is not such a period."""
     text = F.col(text) if isinstance(text, str) else text
-    total = F.lit(0).cast("long")
-    for group, unit in enumerate(_UNITS, start=1):
-        part = F.regexp_extract(text, _PERIOD, group)
-        total = total + F.coalesce(part.try_cast("long"), F.lit(0)) * F.lit(unit)
-    fraction = F.rpad(F.regexp_extract(text, _PERIOD, 6), 3, "0")
-    total = total + F.coalesce(fraction.try_cast("long"), F.lit(0))
-    shaped = text.rlike(_PERIOD) & text.rlike(r"\d")
-    return F.when(shaped, total)
+
+    def total(parts: Column) -> Column:
+        millis = F.lit(0).cast("long")
+        for i, unit in enumerate(_UNITS):
+            millis = millis + F.coalesce(parts[i].try_cast("long"), F.lit(0)) * F.lit(unit)
+        fraction = F.rpad(parts[5], 3, "0").try_cast("long")
+        given = F.exists(parts, lambda p: p != "")
+        return F.when((F.size(parts) == 7) & given, millis + F.coalesce(fraction, F.lit(0)))
+
+    # one pass of the pattern lays the units out as w|d|h|m|s|fraction|
+    laid_out = F.regexp_replace(text, _PERIOD, "$1|$2|$3|$4|$5|$6|")
+    return F.when(~F.contains(text, F.lit("|")), bind(F.split(laid_out, "[|]"), total))
 
 
 def instant(text: Column | str) -> Column:

@@ -83,17 +83,12 @@ def monitored_pairs(configs: DataFrame) -> DataFrame:
     )
     alert = period_millis_column(F.get_json_object("_raw", "$.alert"))
     pager = period_millis_column(F.get_json_object("_raw", "$.pager"))
-    problem = F.when(alert.isNull() | pager.isNull(), F.concat(F.lit("Cannot interpret alert payload: "), F.col("_raw")))
-    return topics.select(
-        "env",
-        "path",
-        "pager_key",
-        "consumer_group",
-        "topic",
-        alert.alias("alert_ms"),
-        pager.alias("pager_ms"),
-        problem.alias("error"),
-    )
+    kept = ["env", "path", "pager_key", "consumer_group", "topic"]
+    periods = F.struct(alert.alias("alert_ms"), pager.alias("pager_ms"))
+    out = topics.select(*kept, "_raw", F.inline(F.array(periods)))
+    bad = F.col("alert_ms").isNull() | F.col("pager_ms").isNull()
+    problem = F.when(bad, F.concat(F.lit("Cannot interpret alert payload: "), F.col("_raw")))
+    return out.select(*kept, "alert_ms", "pager_ms", problem.alias("error"))
 
 
 def datasource_thresholds(configs: DataFrame) -> DataFrame:
@@ -104,14 +99,21 @@ def datasource_thresholds(configs: DataFrame) -> DataFrame:
     )
     is_object = F.col("_raw").startswith("{")
     period = F.when(is_object, F.get_json_object("_raw", "$.threshold")).otherwise(F.col("_raw"))
-    millis = period_millis_column(period)
+    pager_key = F.when(is_object, F.get_json_object("_raw", "$.pagerKey"))
+    out = each.select(
+        "env",
+        "datasource",
+        "_raw",
+        pager_key.alias("pager_key"),
+        F.explode(F.array(period_millis_column(period))).alias("threshold_ms"),
+    )
     problem = F.concat(F.lit("Cannot interpret alert payload: "), F.col("_raw"))
-    return each.select(
+    return out.select(
         "env",
         "datasource",
-        millis.alias("threshold_ms"),
-        F.when(is_object, F.get_json_object("_raw", "$.pagerKey")).alias("pager_key"),
-        F.when(millis.isNull(), problem).alias("error"),
+        "threshold_ms",
+        "pager_key",
+        F.when(F.col("threshold_ms").isNull(), problem).alias("error"),
     )
 
 

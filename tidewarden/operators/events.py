@@ -13,21 +13,18 @@ from ..functions.times import instant
 
 def _parsed(df: DataFrame, payload: str, schema: str, required: list[str]) -> DataFrame:
     """Columns of the event plus `ts` and `error`; a row that is not such an event has an error.
-    An array where an object is expected parses to a struct of nulls, hence the required fields."""
-    body = F.from_json(payload, schema)
-    out = df.withColumn("_e", body)
+    An array where an object is expected parses to a struct of nulls, hence the required fields.
+    `inline` keeps the parsed struct in one place, so each message is parsed once and not once
+    per field."""
+    rest = [c for c in df.columns if c != payload]
+    names = [f.name for f in T.StructType.fromDDL(schema).fields if f.name != "timestamp"]
+    out = df.select(*rest, F.inline(F.array(F.from_json(payload, schema))))
     missing = F.lit(False)
     for field in required:
-        missing = missing | F.col(f"_e.{field}").isNull()
-    stamp = instant("_e.timestamp")
-    problem = F.when(F.col("_e").isNull() | missing, "missing field").when(
-        stamp.isNull(), "bad timestamp"
-    )
-    names = [f.name for f in T.StructType.fromDDL(schema).fields if f.name != "timestamp"]
-    rest = [c for c in df.columns if c != payload]
-    return out.select(
-        *rest, stamp.alias("ts"), *[F.col(f"_e.{n}").alias(n) for n in names], problem.alias("error")
-    )
+        missing = missing | F.col(field).isNull()
+    out = out.select(*rest, instant("timestamp").alias("ts"), *names, missing.alias("_missing"))
+    problem = F.when(F.col("_missing"), "missing field").when(F.col("ts").isNull(), "bad timestamp")
+    return out.select(*rest, "ts", *names, problem.alias("error"))
 
 
 def parse_heartbeats(df: DataFrame, payload: str = "payload") -> DataFrame:

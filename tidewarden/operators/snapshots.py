@@ -56,18 +56,11 @@ def unpivot_statistics(df: DataFrame, label: str, doc: str = "doc") -> DataFrame
 
 def slaves(df: DataFrame, doc: str = "doc") -> DataFrame:
     """Agents listed by masters: env, id, version, host, port; `error` for an odd pid."""
-    out = df.select("env", F.explode(F.from_json(doc, SLAVES)["slaves"]).alias("s"))
-    address = host_port(F.element_at(split_pair("s.pid", "@"), 2))
-    problem = F.format_string("Error parsing `%s`, Expected two sides of a `@`", F.col("s.pid"))
-    return out.select(
-        "env",
-        F.col("s.id").alias("id"),
-        F.col("s.pid").alias("pid"),
-        F.col("s.version").alias("version"),
-        address["host"].alias("host"),
-        address["port"].alias("port"),
-        F.when(address.isNull(), problem).alias("error"),
-    )
+    listed = df.select("env", F.inline(F.from_json(doc, SLAVES)["slaves"]))
+    address = host_port(F.element_at(split_pair("pid", "@"), 2))
+    out = listed.select("env", "id", "pid", "version", F.inline(F.array(address)))
+    problem = F.format_string("Error parsing `%s`, Expected two sides of a `@`", F.col("pid"))
+    return out.withColumn("error", F.when(F.col("port").isNull(), problem))
 
 
 def distinct_slaves(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host_port, split_pair
+from ..functions.text import bind, host_port, split_pair
 from ..functions.times import instant
 
 PIPE = "struct<pipeId:string,intervals:array<string>,more:struct<log:string>>"
@@ -24,31 +24,34 @@ def _rest(df: DataFrame, *drop: str) -> list[str]:
     return [c for c in df.columns if c not in ("doc", *drop)]
 
 
+def _fields(df: DataFrame, schema: str, *drop: str) -> DataFrame:
+    """The document's fields as columns next to the kept ones; parsed once per row."""
+    return df.select(*[c for c in df.columns if c not in drop], F.inline(F.array(F.from_json("doc", schema))))
+
+
 def broker_map(df: DataFrame) -> DataFrame:
     """Nodes (node, doc) to id, host, port."""
-    e = F.from_json("doc", "host string, port int")
-    return df.select(
-        *_rest(df, "node"),
-        F.col("node").try_cast("int").alias("id"),
-        e["host"].alias("host"),
-        e["port"].alias("port"),
+    rest = _rest(df, "node")
+    return _fields(df, "host string, port int").select(
+        *rest, F.col("node").try_cast("int").alias("id"), "host", "port"
     )
 
 
 def partition_state(df: DataFrame, brokers: DataFrame) -> DataFrame:
     """Nodes (topic, partition, doc) to leader and in-sync endpoints; unknown ids disappear."""
-    e = F.from_json("doc", "leader int, isr array<int>")
-    rows = df.select("topic", F.col("partition").cast("int").alias("partition"), e.alias("e"))
+    rows = _fields(df, "leader int, isr array<int>").select(
+        "topic", F.col("partition").cast("int").alias("partition"), "leader", "isr"
+    )
     known = brokers.select("id", F.concat_ws(":", "host", F.col("port").cast("string")).alias("at"))
     isr = (
-        rows.select("topic", "partition", F.explode_outer("e.isr").alias("id"))
+        rows.select("topic", "partition", F.explode_outer("isr").alias("id"))
         .join(known, "id", "left")
         .groupBy("topic", "partition")
         .agg(F.sort_array(F.collect_list("at")).alias("isr"))
     )
     leaders = known.select(F.col("id").alias("leader_id"), F.col("at").alias("leader"))
     return (
-        rows.select("topic", "partition", F.col("e.leader").alias("leader_id"))
+        rows.select("topic", "partition", F.col("leader").alias("leader_id"))
         .join(leaders, "leader_id", "left")
         .join(isr, ["topic", "partition"], "left")
         .select("topic", "partition", "leader", "isr")
@@ -73,16 +76,17 @@ def data_sources(df: DataFrame) -> DataFrame:
 def max_time(df: DataFrame) -> DataFrame:
     """Head of an array of {result}: the newest data time."""
     head = F.get(F.from_json("doc", "array<struct<result:string>>"), F.lit(0))["result"]
-    stamp = instant(head)
+    out = df.select(*_rest(df), "doc", F.explode(F.array(instant(head))).alias("max_time"))
     problem = F.concat(F.lit("Cannot parse response from broker: "), F.col("doc"))
-    return df.select(
-        *_rest(df), stamp.alias("max_time"), F.when(stamp.isNull(), problem).alias("error")
+    return out.select(
+        *_rest(df), "max_time", F.when(F.col("max_time").isNull(), problem).alias("error")
     )
 
 
 def _interval(text: Column) -> Column:
-    pair = split_pair(text, "/")
-    return F.struct(instant(pair[0]).alias("start"), instant(pair[1]).alias("end"))
+    return bind(
+        split_pair(text, "/"), lambda p: F.struct(instant(p[0]).alias("start"), instant(p[1]).alias("end"))
+    )
 
 
 def work_items(df: DataFrame) -> DataFrame:
@@ -94,13 +98,13 @@ def work_items(df: DataFrame) -> DataFrame:
         *rest, "_at", F.get("_pair", F.lit(0)).alias("item_id"), F.get("_pair", F.lit(1)).alias("_raw")
     )
     last = each.groupBy(*rest, "item_id").agg(F.max_by("_raw", "_at").alias("_raw"))
-    e = F.from_json("_raw", PIPE)
-    return last.select(
+    out = last.select(*rest, "item_id", F.inline(F.array(F.from_json("_raw", PIPE))))
+    return out.select(
         *rest,
         "item_id",
-        e["pipeId"].alias("pipe_id"),
-        F.transform(e["intervals"], _interval).alias("intervals"),
-        e["more"]["log"].alias("log"),
+        F.col("pipeId").alias("pipe_id"),
+        F.transform("intervals", _interval).alias("intervals"),
+        F.col("more.log").alias("log"),
     )
 
 
@@ -179,15 +183,15 @@ def atom_entries(df: DataFrame) -> DataFrame:
 
 def masters(df: DataFrame) -> DataFrame:
     """Nodes named json.info_* to master endpoints; a bad one carries an error."""
-    e = F.from_json("doc", MASTER)
-    bad = e["hostname"].isNull() | e["port"].isNull()
-    nodes = df.filter(F.startswith("node", F.lit("json.info_")))
+    rest = _rest(df, "node")
+    nodes = _fields(df.filter(F.startswith("node", F.lit("json.info_"))), MASTER, "id", "host")
+    bad = F.col("hostname").isNull() | F.col("port").isNull()
     return nodes.select(
-        *_rest(df, "node"),
-        e["hostname"].alias("host"),
-        e["id"].alias("id"),
-        e["port"].alias("port"),
-        e["version"].alias("version"),
+        *rest,
+        F.col("hostname").alias("host"),
+        "id",
+        "port",
+        "version",
         F.when(bad, F.concat(F.lit("Mesos master ZK parse exception at "), F.col("node"))).alias("error"),
     )
 
