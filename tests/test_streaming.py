@@ -236,7 +236,11 @@ def test_status_store_compacts(spark, tmp_path):
     key = ["track", "ts", "arrival"]
     _same(store.read("current").select(*key), status.latest_status(rows).select(*key))
     _same(store.read("history").select(*key), status.status_history(rows, 3).select(*key))
-    assert store._committed() == (3, [0, 1, 2, 3, 4])
+    assert store._committed() == (3, [4])
+    before = store.read("history").collect()
+    for i in (2, 4):
+        store.upsert(rows.limit(9), i)
+    assert store.read("history").collect() == before
 
 
 def test_feed_jobs_write_outboxes(spark, tmp_path):

@@ -4,7 +4,9 @@ A batch writes only what it changes: its newest status per track and its own tri
 delta. Both rules give the same answer on merged parts as on all rows, so a read merges the last
 base with the deltas after it, and every `compact_every` batches the merge is written as a new
 base. A write counts once its marker is there: a lost executor or a restart in the middle leaves
-the old state in force, and a batch that runs twice does nothing the second time.
+the old state in force, and a batch that runs twice does nothing the second time. Batch numbers must grow, as
+those of a streaming query do. Folders of superseded bases and deltas are left to the storage's
+retention rule.
 """
 
 from __future__ import annotations
@@ -40,21 +42,25 @@ class StatusStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.history_size, self.compact_every = history_size, compact_every
 
-    def _committed(self) -> tuple[int | None, list[int]]:
-        """Number of the last base and the deltas; one small row per batch and base."""
+    def _marks(self, path: str) -> list[int]:
         try:
-            marks = self.spark.read.schema("kind string, id bigint").json(f"{self.root}/committed")
-            rows = marks.distinct().collect()
+            rows = self.spark.read.schema("id bigint").json(f"{self.root}/{path}").collect()
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None, []
-        base = max((r["id"] for r in rows if r["kind"] == "base"), default=None)
-        return base, sorted(r["id"] for r in rows if r["kind"] == "delta")
+            return []
+        return [r["id"] for r in rows]
+
+    def _mark(self, path: str, number: int, mode: str) -> None:
+        mark = self.spark.createDataFrame([(number,)], "id bigint").coalesce(1)
+        mark.write.mode(mode).json(f"{self.root}/{path}")
 
-    def _commit(self, kind: str, number: int) -> None:
-        mark = self.spark.createDataFrame([(kind, number)], "kind string, id bigint")
-        mark.coalesce(1).write.mode("append").json(f"{self.root}/committed")
+    def _committed(self) -> tuple[int | None, list[int]]:
+        """Number of the last base and of the deltas after it. The base is noted in two slots in
+        turn, so one of them is whole at any time; there are never more marks to read than
+        batches between two bases."""
+        base = max(self._marks("bases/slot=0") + self._marks("bases/slot=1"), default=None)
+        return base, sorted(set(self._marks(f"deltas/after={base}")))
 
     def _merge(self, table: str, parts: DataFrame) -> DataFrame:
         if table == "current":
@@ -63,7 +69,7 @@ class StatusStore:
 
     def _read(self, table: str, base: int | None, deltas: list[int]) -> DataFrame:
         paths = [f"{self.root}/{table}/base={base}"] if base is not None else []
-        paths += [f"{self.root}/{table}/delta={d}" for d in deltas if base is None or d > base]
+        paths += [f"{self.root}/{table}/delta={d}" for d in deltas]
         if not paths:
             return self.spark.createDataFrame([], schemas.STATUS_TABLE)
         parts = [self.spark.read.schema(schemas.STATUS_TABLE).parquet(p) for p in paths]
@@ -76,17 +82,18 @@ class StatusStore:
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """`foreachBatch` body."""
         base, deltas = self._committed()
-        if batch_id in deltas:
+        if batch_id in deltas or (base is not None and batch_id <= base):
             return
         columns = self._read("current", None, []).columns
         rows = batch.select(*columns)
         for table in TABLES:
             part = self._merge(table, rows)
             part.write.mode("overwrite").parquet(f"{self.root}/{table}/delta={batch_id}")
-        self._commit("delta", batch_id)
+        self._mark(f"deltas/after={base}", batch_id, "append")
         deltas.append(batch_id)
-        if len([d for d in deltas if base is None or d > base]) >= self.compact_every:
+        if len(deltas) >= self.compact_every:
             for table in TABLES:
                 merged = self._read(table, base, deltas)
                 merged.write.mode("overwrite").parquet(f"{self.root}/{table}/base={batch_id}")
-            self._commit("base", batch_id)
+            other = 1 if self._marks("bases/slot=0") == [base] else 0
+            self._mark(f"bases/slot={other}", batch_id, "overwrite")
