@@ -141,28 +141,26 @@ def failed_job_pager(spark, sf):
 
 
 def _work_documents(spark, sf) -> DataFrame:
-    """One work list per customer: a pair per order, every third order failed, one id twice."""
-    orders = table(spark, sf, "orders")
+    """One work list per order with three pairs; two have the same id and the later one counts.
+    The job of every third order has failed, half of them with a log."""
+    key = F.col("o_orderkey")
     name = F.concat(
-        F.lit("job"), (F.col("o_orderkey") % 10).cast("string"),
-        F.when(F.col("o_orderkey") % 3 == 0, ".failed").otherwise(""),
+        F.lit("job"), (key % 10).cast("string"), F.when(key % 3 == 0, ".failed").otherwise("")
     )
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    log = F.when(F.col("o_orderkey") % 2 == 0, F.format_string(', "more": {"log": "l%d"}', F.col("o_orderkey"))).otherwise("")
-    pair = F.format_string(
-        '["%s", {"pipeId": "p%d", "intervals": ["%s/%s"]%s}]', name, F.col("o_orderkey") % 7, day, day, log
+    log = F.when(key % 2 == 0, F.format_string(', "more": {"log": "l%d"}', key)).otherwise("")
+    doc = F.format_string(
+        '[["%s", {"pipeId": "old"}], ["x%d", {}], ["%s", {"pipeId": "p%d", "intervals": ["%s/%s"]%s}]]',
+        name, key % 5, name, key % 7, day, day, log,
     )
-    listed = F.sort_array(F.collect_list(F.struct("o_orderkey", pair.alias("pair"))))
-    docs = orders.groupBy((F.col("o_custkey") % 100).alias("env")).agg(listed.alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: x["pair"]), ",")
-    return docs.select("env", F.concat(F.lit("["), joined, F.lit("]")).alias("doc"))
+    return table(spark, sf, "orders").select(key.alias("env"), doc.alias("doc"))
 
 
 _ITEM_SQL = """it AS (
-  SELECT o_custkey % 100 AS env, 'job' || (o_orderkey % 10) || CASE WHEN o_orderkey % 3 = 0 THEN '.failed' ELSE '' END AS item_id,
+  SELECT o_orderkey AS env, 'job' || (o_orderkey % 10) || CASE WHEN o_orderkey % 3 = 0 THEN '.failed' ELSE '' END AS item_id,
     'p' || (o_orderkey % 7) AS pipe_id, epoch_us(o_orderdate) AS start_us,
     CASE WHEN o_orderkey % 2 = 0 THEN 'l' || o_orderkey END AS log
-  FROM orders QUALIFY row_number() OVER (PARTITION BY env, item_id ORDER BY o_orderkey DESC) = 1)"""
+  FROM orders UNION ALL SELECT o_orderkey, 'x' || (o_orderkey % 5), NULL, NULL, NULL FROM orders)"""
 
 
 @query("work_items", f"WITH {_ITEM_SQL} SELECT env, item_id, pipe_id, start_us, log FROM it")
@@ -186,16 +184,16 @@ def failed_jobs(spark, sf):
 @query(
     "resolved_jobs",
     f"WITH {_ITEM_SQL}, f AS (SELECT DISTINCT env, replace(item_id, '.failed', '') AS job FROM it WHERE item_id LIKE '%.failed'), "
-    "tr AS (SELECT DISTINCT o_custkey % 100 AS env, 'job' || (o_orderkey % 10) AS job FROM orders WHERE o_totalprice > 100000) "
+    "tr AS (SELECT o_orderkey AS env, 'job' || (o_orderkey % 10) AS job FROM orders WHERE o_totalprice > 100000) "
     "SELECT env, job FROM tr EXCEPT SELECT env, job FROM f",
 )
 def resolved_jobs(spark, sf):
     failed = pipes.failed_jobs(documents.work_items(_work_documents(spark, sf))).select("env", "job")
     before = table(spark, sf, "orders").filter(F.col("o_totalprice") > 100_000).select(
-        (F.col("o_custkey") % 100).alias("env"),
+        F.col("o_orderkey").alias("env"),
         F.concat(F.lit("job"), (F.col("o_orderkey") % 10).cast("string")).alias("job"),
     )
-    return pipes.resolved_jobs(before.distinct(), failed.distinct())
+    return pipes.resolved_jobs(before, failed)
 
 
 @query(
@@ -214,7 +212,7 @@ def pipe_channels(spark, sf):
 
 @query(
     "complete_environments",
-    "WITH w AS (SELECT DISTINCT o_custkey % 100 AS env FROM orders), p AS (SELECT CAST(s_nationkey AS BIGINT) AS env, s_suppkey FROM supplier) "
+    "WITH w AS (SELECT o_orderkey AS env FROM orders), p AS (SELECT CAST(s_nationkey AS BIGINT) AS env, s_suppkey FROM supplier) "
     "SELECT env, 'p' || s_suppkey AS pipe_id FROM p SEMI JOIN w USING (env)",
 )
 def complete_environments(spark, sf):
