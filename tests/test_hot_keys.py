@@ -51,16 +51,50 @@ def mode(request):
 
 
 def test_hot_keys_are_cut(spark, split):
-    cuts = find_cuts(_frame(spark, _rows(1)), ["key"], "ts")
+    cuts = find_cuts(_frame(spark, _rows(1)), ["key"], ["ts", "id"])
     assert cuts.split and cuts.segments > 5
-    marked = cuts.mark(_frame(spark, _rows(1)), "ts")
+    marked = cuts.mark(_frame(spark, _rows(1)), ["ts", "id"])
     assert marked.count() == 240
     sizes = marked.filter("_hot").groupBy("key", "_seg").count()
     assert sizes.agg(F.max("count")).first()[0] < 30
 
 
+def _same_instant(seed):
+    """Two thirds of the hot key's rows at one instant."""
+    return [
+        (k, BASE + 3000 * SECOND if k == "hot" and i % 9 else t, i, b) for k, t, i, b in _rows(seed)
+    ]
+
+
+def test_a_hot_instant_is_cut_by_the_tie_break(spark, split):
+    df = _frame(spark, _same_instant(1))
+    cuts = find_cuts(df, ["key"], ["ts", "id"])
+    sizes = cuts.mark(df, ["ts", "id"]).filter("_hot and key = 'hot'").groupBy("_seg").count()
+    assert sizes.agg(F.max("count")).first()[0] < 20
+    together = cuts.mark(df, ["ts", "bad"]).filter("key = 'hot'").groupBy("ts")
+    assert together.agg(F.countDistinct("_seg").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_work_over_a_hot_instant(spark, mode):
+    rows = _same_instant(2)
+    out = OrderedRows(_frame(spark, rows), ["key"], ["ts", "id"])
+    out = out.previous(before="id").running(n=F.lit(1)).runs(bad="bad").df
+    fired = throttle.greedy_throttle(_frame(spark, rows), ["key"], ["ts", "id"], F.lit(60 * SECOND))
+    want, fires = {}, set()
+    for group in _by_key(rows).values():
+        last, run = None, None
+        for j, (_, t, i, bad) in enumerate(group):
+            run = (bad, 1 + (run[1] if run and run[0] == bad else 0))
+            want[i] = (group[j - 1][2] if j else None, j + 1, run[1])
+            if last is None or t > last + 60 * SECOND:
+                fires.add(i)
+                last = t
+    assert {r["id"]: (r["before"], r["n"], r["bad_length"]) for r in out.collect()} == want
+    assert {r["id"] for r in fired.collect()} == fires
+
+
 def test_small_tables_are_not_scanned(spark):
-    assert not find_cuts(_frame(spark, _rows(1)), ["key"], "ts").split
+    assert not find_cuts(_frame(spark, _rows(1)), ["key"], ["ts", "id"]).split
 
 
 def test_neighbours_known_values_and_totals(spark, mode):
@@ -347,7 +381,7 @@ def test_silence(spark, mode):
 
 def test_cuts_of_a_table_serve_its_subsets(spark, split):
     df = _frame(spark, _rows(13))
-    cuts = find_cuts(df, ["key"], "ts")
+    cuts = find_cuts(df, ["key"], ["ts", "id"])
     assert isinstance(cuts, Cuts)
     some = df.filter("bad")
     a = OrderedRows(some, ["key"], ["ts", "id"], cuts).running(n=F.lit(1)).df

@@ -127,7 +127,7 @@ def mail_digest(
     outages: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Digests with their text. Mails: subject, body, ts, arrival."""
-    cuts = find_cuts(mails, ["subject"], "ts")
+    cuts = find_cuts(mails, ["subject"], ["ts", "arrival"])
     spans = digest_spans(mails, backoff, stop, outages, cuts)
     seen = mails.select(
         "subject",

@@ -49,7 +49,7 @@ def throttled(df: DataFrame, keys: list[str], order: list[str], gap_micros: int)
     A resolve does not reset the throttle clock, so a relapse within it stays silent.
     Rows without a pager key are returned too, with `action` alert in place of trigger."""
     columns = df.columns
-    cuts = find_cuts(df, keys, order[0])
+    cuts = find_cuts(df, keys, order)
     fired = greedy_throttle(df.filter("failing"), keys, order, F.lit(gap_micros), cuts=cuts)
     seen = fired.unionByName(df.filter(~F.col("failing")))
     rows = OrderedRows(seen, keys, order, cuts).previous(_failed=F.col("failing"))
@@ -67,7 +67,7 @@ def backlog_pager(df: DataFrame, keys: list[str], order: list[str], gap_micros:
     late = (F.col("period_ms") != 0) & (oldest < edge)
     state = df.withColumn("_late", F.when(late, True).when(oldest >= edge, False))
     state = state.filter(F.col("_late").isNotNull())
-    cuts = find_cuts(df, keys, order[0])
+    cuts = find_cuts(df, keys, order)
     rows = OrderedRows(state, keys, order, cuts)
     spells = rows.running(_spell=F.when(F.col("_late"), 0).otherwise(1).cast("long"))
     pages = greedy_throttle(
@@ -88,7 +88,7 @@ def failed_job_pager(probes: DataFrame, failed: DataFrame) -> DataFrame:
     numbered = OrderedRows(probes.select("env", "ts").distinct(), ["env"], ["ts"])
     numbered = numbered.running(seq=F.lit(1).cast("long")).df
     jobs = ["env", "job"]
-    cuts = find_cuts(failed, jobs, "ts")
+    cuts = find_cuts(failed, jobs, ["ts"])
     rows = OrderedRows(failed.join(numbered, ["env", "ts"], "inner"), jobs, ["ts"], cuts)
     rows = rows.previous(_before=F.col("seq"))
     fresh = F.col("_before").isNull() | (F.col("_before") != F.col("seq") - 1)

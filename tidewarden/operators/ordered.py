@@ -26,8 +26,8 @@ class OrderedRows:
     `cuts` are those of a table this one was derived from; without them they are looked for."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None):
-        cuts = cuts or find_cuts(df, keys, order[0])
-        self._df, self.cuts = cuts.mark(df, order[0]), cuts
+        cuts = cuts or find_cuts(df, keys, order)
+        self._df, self.cuts = cuts.mark(df, order), cuts
         self.keys, self.order = list(keys), list(order)
 
     def _with(self, df: DataFrame) -> "OrderedRows":

@@ -2,7 +2,8 @@
 
 A window partitioned by key sends all rows of a key to one task. When a key holds a large share
 of the table that task is the whole job. `find_cuts` finds such keys and cuts each of them into
-consecutive time segments at its own quantiles; `Cuts.mark` adds the segment number. Callers then
+consecutive time segments at its own quantiles, and a single instant that is itself too large by
+the tie-break column; `Cuts.mark` adds the segment number. Callers then
 work on (key, segment) and carry a small summary from one segment of a key to the next.
 
 Sizes: a key counts as hot when it holds more than max(rows_per_segment, total / MAX_HOT_KEYS)
@@ -14,6 +15,7 @@ Cut points are literals by the time the query runs, so a recomputed task sees th
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,7 @@ DEFAULT_CHECK_BYTES = 64 * 1024 * 1024
 MAX_HOT_KEYS = 2000
 MAX_SEGMENTS = 1024
 _FAN = 32
+_FIRST, _LAST = -(2**63), 2**63 - 1
 
 SEG = "_seg"
 HOT = "_hot"
@@ -36,24 +39,29 @@ HOT = "_hot"
 class Cuts:
     """Cut points of the hot keys of a table; `frame` is None when there are none.
 
-    A segment is a function of key and instant, so the cuts found for a table serve every table
-    derived from it by dropping rows, and save looking for hot keys again at every step."""
+    A segment is a function of key, instant and (where one instant alone is too large) the
+    tie-break column `tie`, so the cuts found for a table serve every table derived from it by
+    dropping rows, and save looking for hot keys again at every step. A table ordered by another
+    tie-break keeps all rows of an instant together."""
 
     keys: list[str]
     frame: DataFrame | None
     segments: int = 0
+    tie: str | None = None
 
     @property
     def split(self) -> bool:
         return self.frame is not None
 
-    def mark(self, df: DataFrame, order: str) -> DataFrame:
+    def mark(self, df: DataFrame, order: list[str]) -> DataFrame:
         """Add `_seg` (0 for ordinary keys) and `_hot`."""
         if self.frame is None:
             return df
-        pos = position(df, order)
-        group = F.size(F.filter("_heads", lambda c: c <= pos))
-        inner = F.size(F.filter(F.element_at("_groups", group), lambda c: c <= pos))
+        tied = self.tie is not None and order[1:2] == [self.tie]
+        tie = position(df, self.tie) if tied else F.lit(_LAST)
+        at = F.struct(position(df, order[0]).alias("pos"), tie.alias("tie"))
+        group = F.size(F.filter("_heads", lambda c: c <= at))
+        inner = F.size(F.filter(F.element_at("_groups", group), lambda c: c <= at))
         seg = F.when(F.col("_heads").isNull() | (group == 0), 0).otherwise(
             (group - 1) * _FAN + inner
         )
@@ -86,7 +94,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -
     return condition
 
 
-def find_cuts(df: DataFrame, keys: list[str], order: str) -> Cuts:
+def find_cuts(df: DataFrame, keys: list[str], order: list[str]) -> Cuts:
     """Cut points of the keys of `df` that are too large for one task, if there are any."""
     spark = df.sparkSession
     rows = int(spark.conf.get(ROWS_CONF, str(DEFAULT_ROWS)))
@@ -102,36 +110,70 @@ def find_cuts(df: DataFrame, keys: list[str], order: str) -> Cuts:
     if largest <= floor:
         return plain
 
-    hot = [tuple(r) for r in counts.filter(F.col("_n") > floor).select(*keys, "_n").collect()]
+    names = ["_k_" + k for k in keys]
     key_fields = [T.StructField("_k_" + k, df.schema[k].dataType) for k in keys]
-    hot_keys = spark.createDataFrame(
-        hot, T.StructType(key_fields + [T.StructField("_n", T.LongType())])
-    )
-    grid = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
-    pos = position(df, order)
-    quantiles = (
-        df.select(*keys, pos.alias("_pos"))
-        .join(F.broadcast(hot_keys), same_keys(df, hot_keys, keys, "_k_"), "inner")
-        .groupBy(*["_k_" + k for k in keys], "_n")
-        .agg(F.percentile_approx("_pos", grid, 20_000).alias("_q"))
-        .collect()
-    )
-    cut_rows = []
-    for row in quantiles:
+    hot = counts.filter(F.col("_n") > floor).select(*keys, "_n").collect()
+    cuts = {}
+    for row in _quantiles(df, keys, key_fields, [tuple(r) for r in hot], position(df, order[0])):
         pieces = min(MAX_SEGMENTS, -(-row["_n"] // rows))
         step = max(1, MAX_SEGMENTS // pieces)
-        cuts = sorted(set((row["_q"] or [])[step - 1 :: step]))
-        groups = [cuts[i : i + _FAN] for i in range(0, len(cuts), _FAN)]
-        cut_rows.append(tuple(row["_k_" + k] for k in keys) + ([g[0] for g in groups], groups))
+        cuts[tuple(row[n] for n in names)] = sorted(row["_q"] or [])[step - 1 :: step]
+
+    # an instant that several cuts fall on holds several segments' rows: cut it by the tie-break
+    tie = order[1] if len(order) > 1 and _is_number(df.schema[order[1]].dataType) else None
+    heavy = [
+        (*key, pos, times)
+        for key, found in cuts.items()
+        for pos, times in Counter(found).items()
+        if times > 1
+    ]
+    inside = {}
+    if tie is not None and heavy:
+        placed = df.withColumn("_at", position(df, order[0]))
+        at_field = T.StructField("_k__at", T.LongType())
+        for row in _quantiles(
+            placed, [*keys, "_at"], [*key_fields, at_field], heavy, position(df, tie)
+        ):
+            step = MAX_SEGMENTS // row["_n"]
+            found = sorted(set(row["_q"] or []))
+            ties = sorted(set(sorted(row["_q"] or [])[step - 1 :: step][: row["_n"] - 1]))
+            inside[(*[row[n] for n in names], row["_k__at"])] = [t for t in ties if t != found[0]]
+
+    point = T.StructType([T.StructField("pos", T.LongType()), T.StructField("tie", T.LongType())])
+    cut_rows = []
+    for key, found in cuts.items():
+        points = [
+            (pos, t) for pos in sorted(set(found)) for t in [_FIRST, *inside.get((*key, pos), [])]
+        ]
+        groups = [points[i : i + _FAN] for i in range(0, len(points), _FAN)]
+        cut_rows.append((*key, [g[0] for g in groups], groups))
     cut_schema = T.StructType(
         key_fields
         + [
-            T.StructField("_heads", T.ArrayType(T.LongType())),
-            T.StructField("_groups", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("_heads", T.ArrayType(point)),
+            T.StructField("_groups", T.ArrayType(T.ArrayType(point))),
         ]
     )
     segments = sum(1 + sum(map(len, row[-1])) for row in cut_rows)
-    return Cuts(keys, spark.createDataFrame(cut_rows, cut_schema), segments)
+    return Cuts(keys, spark.createDataFrame(cut_rows, cut_schema), segments, tie)
+
+
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType)
+
+
+def _quantiles(df, keys, key_fields, wanted: list[tuple], value: Column) -> list:
+    """Quantiles of `value` for each of the wanted keys, given with a number each."""
+    fields = T.StructType([*key_fields, T.StructField("_n", T.LongType())])
+    frame = df.sparkSession.createDataFrame(wanted, fields)
+    grid = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
+    return (
+        df.select(*keys, value.alias("_value"))
+        .join(F.broadcast(frame), same_keys(df, frame, keys, "_k_"), "inner")
+        .groupBy(*[f.name for f in key_fields], "_n")
+        .agg(F.percentile_approx("_value", grid, 20_000).alias("_q"))
+        .collect()
+    )
 
 
 def materialize(df: DataFrame) -> DataFrame:

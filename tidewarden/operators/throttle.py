@@ -168,9 +168,9 @@ def greedy_throttle(
     composed in groups of eight up a tree and walked back down, and then all segments are resolved
     in parallel.
     """
-    cuts = cuts or find_cuts(df, keys, order[0])
+    cuts = cuts or find_cuts(df, keys, order)
     start = F.lit(None).cast("long") if start is None else start
-    base, columns = cuts.mark(df, order[0]), df.columns
+    base, columns = cuts.mark(df, order), df.columns
     cold = base.filter(~F.col(HOT)) if cuts.split else base
     fired = _fire_cold(cold, df, keys, order, gap, start, strict, columns)
     if not cuts.split:

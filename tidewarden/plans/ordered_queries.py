@@ -331,7 +331,7 @@ def check_incidents(spark, sf):
     """Alerts and pages of failing checks; group g1 ignores failed fetches."""
     keys = ["group", "name"]
     results = views.checks(spark, sf)
-    cuts = find_cuts(results, keys, "ts")
+    cuts = find_cuts(results, keys, _ORDER)
     rows = ck.latest_values(ck.streaks(results, keys, _ORDER, cuts), keys, _ORDER, cuts)
     rows = rows.withColumn("ignore_failed_fetch", F.col("group") == "g1")
     failed = (F.col("verdict") == "failed") & ~ck.suppressed()
@@ -492,7 +492,7 @@ def failure_details(spark, sf):
             "data": F.create_map().cast("map<string,string>"),
         }
     )
-    cuts = find_cuts(rows, keys, "ts")
+    cuts = find_cuts(rows, keys, _ORDER)
     rows = ck.streaks(rows, keys, _ORDER, cuts)
     rows = ck.latest_values(rows, keys, _ORDER, cuts)
     rows = ck.history_text(rows, keys, _ORDER, 3, cuts).filter(F.col("verdict") == "failed")
