@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +37,18 @@ def local_session(cores: int | str = "*", app: str = "tidewarden", **conf: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they find it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewarden_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="tidewarden-")  # served by the driver until it ends
+    archive = f"{folder.name}/tidewarden_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._tidewarden_shipped = folder
