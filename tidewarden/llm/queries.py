@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_quality, language, packing, piece_counts, sampling, tree_rules
+from . import chat, crf_quality, language, line_windows, packing, piece_counts, sampling, tree_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,13 @@ ORACLES["op9_chat_format"] = _chat_sql()
 def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of windows that stand at an earlier place."""
+    found = line_windows.trimmed(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op4_line_windows"] = line_windows.SQL
