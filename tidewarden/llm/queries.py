@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_quality, language, line_windows, packing, piece_counts, sampling, tree_rules
+from . import chat, crf_quality, decontaminate, language, line_windows, packing, piece_counts, sampling, tree_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_line_windows"] = line_windows.SQL
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or something similar, with the best place."""
+    return decontaminate.links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
