@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 1 << 21
+SLICE_TEXTS = 1 << 13
 _BLOCK = 1 << 20
 _U = np.uint64
 
@@ -78,11 +79,12 @@ class Part:
 
 
 def parts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Part]:
-    """Slices of a batch with about `size` bytes of text each, and one text at least."""
+    """Slices of a batch with about `size` bytes of text each, one text at least and `SLICE_TEXTS` at most."""
     data, bounds = text_buffer(column)
     low, n = 0, len(bounds) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + size, "right")) - 1)
+        high = min(high, low + SLICE_TEXTS)
         yield Part(low, data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
         low = high
 

@@ -37,6 +37,8 @@ from .memo import Memo
 CAPACITY = 1024
 END_ID = 2
 SLICES = 1 << 16  # of all lengths together, besides one for each length
+ENCODED_AT_ONCE = 2048
+REMEMBERED = 1_000_000  # cuttings, in each worker process
 SLICE_ROWS = 4096  # a slice is not made smaller than this
 
 _RUN = "length long, first long, n long, sequence long, offset long"
@@ -50,7 +52,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo()
+        self.memo = Memo(REMEMBERED)
         self.forget()
 
     def forget(self) -> None:
@@ -71,9 +73,11 @@ class Tokens:
         if new.any():
             at = first[new]
             raw = part.data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts.start[at], cuts.end[at], strict=True)]
             rows[new] = self.memo.add(keys[new])
-            self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            for low in range(0, len(at), ENCODED_AT_ONCE):
+                few = at[low : low + ENCODED_AT_ONCE]
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts.start[few], cuts.end[few], strict=True)]
+                self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         rows = rows[which]
         length = self.length[rows]
         bounds = np.concatenate(([0], np.cumsum(length)))
@@ -91,16 +95,24 @@ class Tokens:
         self.used += more
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~")] = True
+
+
 def cuttings(part: arrays.Part) -> arrays.Spans:
-    """Texts cut before each ASCII white space that follows a visible ASCII character or a letter of two
-    bytes (from U+00C0 on, where none is white space)."""
+    """Texts cut before each ASCII white space that follows a visible ASCII character or a character of two
+    bytes from U+00C0 on (none is white space), and before each ASCII mark that follows a letter. The bar is
+    left out, as the name of a special token stands before one."""
     data = part.data
     if not len(data):
         return arrays.Spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(part) + 1, np.int64))
     seen = (data > 32) & (data < 127)
     seen[1:] |= (data[1:] >= 128) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
     edge = np.zeros(len(data) + 1, bool)
-    edge[1:-1] = arrays._SPACE[data[1:]] & seen[:-1]
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 128) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    edge[1:-1] = (arrays._SPACE[data[1:]] & seen[:-1]) | (_MARK[data[1:]] & letter[:-1])
     edge[part.bounds] = True
     at = np.flatnonzero(edge)
     return arrays.Spans(at[:-1], at[1:], np.searchsorted(at[:-1], part.bounds))
