@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_quality, decontaminate, language, line_windows, minhash, packing, piece_counts, sampling, tree_rules
+from . import chat, crf_quality, decontaminate, language, line_windows, minhash, packing, passages, piece_counts, sampling, tree_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,9 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots ON roots.node = d.doc_id
 """
+
+
+@query
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share, and whole copies."""
+    return passages.passages(table(spark, sf_dir, "documents"))
