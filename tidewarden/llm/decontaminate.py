@@ -140,6 +140,8 @@ class Benchmark:
             maybe = np.flatnonzero(seen[(shingles & _U(_BITS - 1)).astype(np.int64)])
             place = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
             hits = maybe[known[place] == shingles[maybe]]
+            if not len(hits):
+                continue
             texts, first = np.unique(np.searchsorted(ends, hits, "right") - 1, return_index=True)
             for text, own_hits in zip(texts.tolist(), np.split(hits, first[1:]), strict=True):
                 own = shingles[ends[text] : ends[text + 1]]
@@ -148,8 +150,6 @@ class Benchmark:
 
     def _text(self, text, shingles, hits, k, lengths, at_least, best) -> None:
         longest = max(x.words for x in lengths)
-        if not len(hits):
-            return
         for low, high in _stretches(hits, longest, len(shingles)):
             own = shingles[low:high]
             weight = np.array([self.weights.get(s, self.new_weight) for s in own.tolist()])
