@@ -6,18 +6,14 @@ import numpy as np
 
 
 class Memo:
-    """Rows of values by 64-bit key. When it would hold more than `most` keys it starts anew, so it only
-    saves time and never decides a result."""
+    """Row numbers by 64-bit key, at most `most` of them (callers ask for `room`). It only saves time and
+    never decides a result."""
 
     def __init__(self, most: int = 2_000_000):
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.n = 0
-        self.fresh = True
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row number of each key, -1 for unknown ones."""

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = Memo(REMEMBERED)
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo.clear()
         self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
         self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, part: arrays.Part) -> tuple[np.ndarray, np.ndarray]:
@@ -66,33 +62,39 @@ class Tokens:
         cuts = cuttings(part)
         keys, first, which = np.unique(arrays.hashes(part, cuts), return_index=True, return_inverse=True)
         rows = self.memo.find(keys)
-        new = rows < 0
-        if not self.memo.room(int(new.sum())):
-            self.forget()
-            new = np.ones(len(keys), bool)
-        if new.any():
-            at = first[new]
-            raw = part.data.tobytes()
-            rows[new] = self.memo.add(keys[new])
-            for low in range(0, len(at), ENCODED_AT_ONCE):
-                few = at[low : low + ENCODED_AT_ONCE]
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts.start[few], cuts.end[few], strict=True)]
-                self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        new = np.flatnonzero(rows < 0)
+        stay = self.memo.n, len(self.begin)
+        self._add(part, cuts.start[first[new]], cuts.end[first[new]])
+        rows[new] = stay[1] + np.arange(len(new))
+        if self.memo.room(len(new)):
+            self.memo.add(keys[new])
         rows = rows[which]
         length = self.length[rows]
         bounds = np.concatenate(([0], np.cumsum(length)))
         at = np.arange(bounds[-1]) + np.repeat(self.begin[rows] - bounds[:-1], length)
-        return self.flat[at], bounds[cuts.bounds]
-
-    def _add(self, found: list[list[int]]) -> None:
-        length = np.array([len(x) for x in found], np.int64)
-        more = int(length.sum())
-        if self.used + more > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(self.used, more), np.int32)))
-        self.flat[self.used : self.used + more] = [i for x in found for i in x]
-        self.begin = np.concatenate((self.begin, self.used + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.used += more
+        ids = self.flat[at]
+        if self.memo.n == stay[0]:  # no room: what came last is not remembered
+            self.begin, self.length = self.begin[: stay[1]], self.length[: stay[1]]
+        return ids, bounds[cuts.bounds]
+
+    def _add(self, part: arrays.Part, start: np.ndarray, end: np.ndarray) -> None:
+        """Tokenize some stretches of a part and append their ids."""
+        raw = part.data.tobytes()
+        begin, length = [self.begin], [self.length]
+        used = int(self.begin[-1] + self.length[-1]) if len(self.begin) else 0
+        for low in range(0, len(start), ENCODED_AT_ONCE):
+            few = zip(start[low : low + ENCODED_AT_ONCE].tolist(), end[low : low + ENCODED_AT_ONCE].tolist(), strict=True)
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in few]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            more = int(sizes.sum())
+            if used + more > len(self.flat):
+                self.flat = np.concatenate((self.flat[:used], np.zeros(max(used, more), np.int32)))
+            self.flat[used : used + more] = np.fromiter(chain.from_iterable(found), np.int32, more)
+            begin.append(used + np.cumsum(sizes) - sizes)
+            length.append(sizes)
+            used += more
+        self.begin, self.length = np.concatenate(begin), np.concatenate(length)
 
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)

@@ -142,14 +142,15 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 words = arrays.words(part)
                 keys, first, which = np.unique(arrays.hashes(part, words), return_index=True, return_inverse=True)
                 rows = memo.find(keys)
-                new = rows < 0
-                if not memo.room(int(new.sum())):
-                    memo.clear()
-                    known, new = np.zeros(0, np.int64), np.ones(len(keys), bool)
+                new = np.flatnonzero(rows < 0)
                 at = first[new]
-                known = np.concatenate((known, automaton.counts(part.data, words.start[at], words.end[at])))
-                rows[new] = memo.add(keys[new])
-                n_tokens = arrays.sums(known[rows][which], words.bounds)
+                found = np.empty(len(keys), np.int64)
+                found[rows >= 0] = known[rows[rows >= 0]]
+                found[new] = automaton.counts(part.data, words.start[at], words.end[at])
+                if memo.room(len(new)):
+                    memo.add(keys[new])
+                    known = np.concatenate((known, found[new]))
+                n_tokens = arrays.sums(found[which], words.bounds)
                 ids = batch.column("doc_id").slice(part.first, len(part))
                 columns = [ids, pa.array(words.counts()), pa.array(n_tokens)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
