@@ -204,7 +204,7 @@ def score(model: dict | None, part: arrays.Part) -> np.ndarray:
         return np.full(len(part), 0.5)
     lines, own = describe(part)
     slope, shift = model["scale"]
-    return _sigmoid(slope * _log_odds(marginals(model, own, lines)) + shift)
+    return np.round(_sigmoid(slope * _log_odds(marginals(model, own, lines)) + shift), 9)  # the same in any batch
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, rows: int = SAMPLE_DOCS) -> dict | None:

@@ -211,6 +211,7 @@ def predict(model: dict | None, part: arrays.Part) -> tuple[np.ndarray, np.ndarr
         count = np.maximum(np.diff(ends), 1)
         for j in range(table.shape[1]):
             margin[:, j] += arrays.sums(table[:, j][bucket], ends) / count
+    margin = np.round(margin, 9)  # the same in any batch
     families = model["families"]
     best = margin[:, : len(families)].argmax(1) if len(families) > 1 else np.zeros(n, np.int64)
     chance = _share(margin[:, : len(families)]).max(1) if len(families) > 1 else np.ones(n)
@@ -228,7 +229,7 @@ def predict(model: dict | None, part: arrays.Part) -> tuple[np.ndarray, np.ndarr
         for a, b, j in pairs:
             m = np.where(win == own.index(a), 1, np.where(win == own.index(b), -1, 0)) * margin[rows, j]
             sure = np.where(m != 0, np.minimum(sure, 1 / (1 + np.exp(-3 * np.clip(m, -50, 50)))), sure)
-        score[rows] = chance[rows] * sure
+        score[rows] = np.round(chance[rows] * sure, 9)
     return lang, score
 
 
