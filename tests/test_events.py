@@ -50,7 +50,34 @@ def test_alert_log_context(spark):
     context = row["context"]
     assert context["x"] == "null"
     assert context["n"] == '{"y":1}'
-    assert (context["host"], context["severity"]) == ("h", "ANOMALY")
+    assert (context["host"], context["severity"]) == ("h", "anomaly")
+    assert context["timestamp"] == "2014-01-01T00:00:00Z"
+
+
+def test_a_mail_keeps_entries_without_a_value(spark):
+    alert = events.good(events.parse_alerts(_messages(spark, ALERT)))
+    assert "x: null" in events.alert_mails(alert).first()["body"].split("\n")
+
+
+def test_a_status_without_tags_has_its_other_dims(spark):
+    body = {**BEAT, "track": ["t"], "value": "ok", "message": "m"}
+    dims = events.status_metrics(events.good(events.parse_statuses(_messages(spark, body)))).first()["dims"]
+    assert dims["track_0"] == ["t"] and dims["status_value"] == ["ok"]
+
+
+def test_bad_messages_are_kept(spark):
+    late = json.dumps({**BEAT, "timestamp": "hey"})
+    df = feeds.decode(_messages(spark, "nonsense", late, json.dumps([BEAT, BEAT])), "heartbeats")
+    bad = {r["message"]: r["description"] for r in events.isolate_failures(df, "heartbeats").collect()}
+    assert bad == {"nonsense": "Failed to decode events from heartbeats", late: "Failed to process event from heartbeats"}
+    assert sorted(r["position"] for r in events.good(df).collect()) == [0, 1]
+
+
+def test_a_track_filter_goes_below_the_newest_status(spark):
+    df = spark.range(5).selectExpr("array(cast(id as string)) as track", "timestamp'2024-01-01' as ts", "id as arrival", "'v' as value")
+    plan = status.status_by_track(status.latest_status(df), ["3"])
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate") < text.index("Filter") and plan.count() == 1
 
 
 def test_status_tags_become_text(spark):

@@ -84,10 +84,10 @@ def alert_subject(severity: Column | str, service: Column | str, heading: Column
 
 
 def entry_lines(data: Column | str) -> Column:
-    """A string map as `key: value` lines in key order."""
+    """A string map as `key: value` lines in key order; null reads "null"."""
     entries = F.array_sort(F.map_entries(_c(data)))
     return F.array_join(
-        F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"
+        F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null")))), "\n"
     )
 
 

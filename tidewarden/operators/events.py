@@ -11,37 +11,49 @@ from ..functions import text
 from ..functions.times import instant
 
 
+MISSING = "missing field"
+
+
 def _parsed(df: DataFrame, payload: str, schema: str, required: list[str]) -> DataFrame:
-    """Columns of the event plus `ts` and `error`; a row that is not such an event has an error.
+    """Columns of the event plus `ts`, `error` and `raw`, the message; a row that is not such an event has
+    an error.
     An array where an object is expected parses to a struct of nulls, hence the required fields.
     `inline` keeps the parsed struct in one place, so each message is parsed once and not once
     per field."""
     rest = [c for c in df.columns if c != payload]
     names = [f.name for f in T.StructType.fromDDL(schema).fields if f.name != "timestamp"]
-    out = df.select(*rest, F.inline(F.array(F.from_json(payload, schema))))
+    out = df.select(*rest, F.col(payload).alias("_raw"), F.inline(F.array(F.from_json(payload, schema))))
     missing = F.lit(False)
     for field in required:
         missing = missing | F.col(field).isNull()
-    out = out.select(*rest, instant("timestamp").alias("ts"), *names, missing.alias("_missing"))
-    problem = F.when(F.col("_missing"), "missing field").when(F.col("ts").isNull(), "bad timestamp")
-    return out.select(*rest, "ts", *names, problem.alias("error"))
+    out = out.select(
+        *rest, "_raw", instant("timestamp").alias("ts"), F.col("timestamp").alias("_stamp"), *names, missing.alias("_missing")
+    )
+    problem = F.when(F.col("_missing"), MISSING).when(F.col("ts").isNull(), "bad timestamp")
+    return out.select(*rest, "ts", *names, problem.alias("error"), F.col("_raw").alias("raw"), "_stamp")
+
+
+def _keep_bad(df: DataFrame) -> DataFrame:
+    """Only a row with an error keeps its message in `raw`."""
+    return df.withColumn("raw", F.when(F.col("error").isNotNull(), F.col("raw")))
 
 
 def parse_heartbeats(df: DataFrame, payload: str = "payload") -> DataFrame:
     required = ["timestamp", "service", "host", "agent"]
-    return _parsed(df, payload, schemas.HEARTBEAT, required)
+    return _keep_bad(_parsed(df, payload, schemas.HEARTBEAT, required).drop("_stamp"))
 
 
 def parse_statuses(df: DataFrame, payload: str = "payload") -> DataFrame:
-    return _parsed(df, payload, schemas.STATUS, ["timestamp", "service", "host", "track"])
+    required = ["timestamp", "service", "host", "track"]
+    return _keep_bad(_parsed(df, payload, schemas.STATUS, required).drop("_stamp"))
 
 
 def parse_pagers(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Flat rows tagged by `type`; details stay as JSON text."""
     out = _parsed(df, payload, schemas.PAGER, ["timestamp", "service", "host", "data"])
-    rest = [c for c in out.columns if c not in ("data", "error")]
+    rest = [c for c in out.columns if c not in ("data", "error", "raw", "_stamp")]
     known = F.col("data.type").isin("trigger", "resolve")
-    return out.select(
+    out = out.select(
         *rest,
         F.col("data.type").alias("type"),
         F.col("data.incidentKey").alias("incident_key"),
@@ -51,29 +63,34 @@ def parse_pagers(df: DataFrame, payload: str = "payload") -> DataFrame:
         F.coalesce("error", F.when(~F.coalesce(known, F.lit(False)), "unknown type")).alias(
             "error"
         ),
+        "raw",
     )
+    return _keep_bad(out)
 
 
 def parse_alerts(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Severity is upper-cased with underscores and must be a known one."""
+    """Severity is upper-cased with underscores and must be a known one. The event's own texts of severity
+    and timestamp stay as `severity_text` and `timestamp_text`."""
     out = _parsed(df, payload, schemas.ALERT, ["timestamp", "severity"])
-    name = text.severity_name("severity")
-    return out.withColumn("severity", name).withColumn(
-        "error",
-        F.coalesce("error", F.when(~name.isin(*schemas.SEVERITIES), F.lit("unknown severity"))),
-    )
+    out = out.withColumnRenamed("_stamp", "timestamp_text").withColumn("severity_text", F.col("severity"))
+    out = out.withColumn("severity", text.severity_name("severity"))
+    known = F.col("severity").isin(*schemas.SEVERITIES)
+    return _keep_bad(out.withColumn("error", F.coalesce("error", F.when(~known, F.lit("unknown severity")))))
 
 
 def good(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("error").isNull()).drop("error")
+    return df.filter(F.col("error").isNull()).drop("error", "raw")
 
 
 def isolate_failures(df: DataFrame, topic: str) -> DataFrame:
-    """Alert rows for what could not be processed; the other rows go on through `good`."""
+    """Alert rows for what could not be decoded (it is no such event) or processed (it is one with a value
+    that does not serve), with the message as it came; the other rows go on through `good`."""
     bad = df.filter(F.col("error").isNotNull())
+    what = F.when(F.col("error") == MISSING, f"Failed to decode events from {topic}")
     return bad.select(
-        F.lit(f"Failed to process event from {topic}").alias("description"),
+        what.otherwise(f"Failed to process event from {topic}").alias("description"),
         F.col("error").alias("exception"),
+        F.col("raw").alias("message"),
     )
 
 
@@ -103,12 +120,16 @@ def _metric(df: DataFrame, metric: Column, dims: Column) -> DataFrame:
 
 
 def status_metrics(df: DataFrame, compat: bool = False) -> DataFrame:
-    """Metric `status`. `compat=True` puts the agent into the dim `message`."""
+    """Metric `status`. `compat=True` puts the agent into the dim `message`. Without tags or track there
+    are no dims for them."""
+    no_tags = F.create_map().cast("map<string,string>")
     tags = F.transform_values(
-        F.transform_keys("tags", lambda k, _: F.concat(F.lit("tags_"), k)), lambda _, v: F.array(v)
+        F.transform_keys(F.coalesce("tags", no_tags), lambda k, _: F.concat(F.lit("tags_"), k)),
+        lambda _, v: F.array(v),
     )
-    places = F.transform("track", lambda _, i: F.concat(F.lit("track_"), i.cast("string")))
-    tracks = F.map_from_arrays(places, F.transform("track", lambda el: F.array(el)))
+    track = F.coalesce("track", F.array().cast("array<string>"))
+    places = F.transform(track, lambda _, i: F.concat(F.lit("track_"), i.cast("string")))
+    tracks = F.map_from_arrays(places, F.transform(track, lambda el: F.array(el)))
     fixed = _dims(
         service="service",
         host="host",
@@ -160,13 +181,19 @@ def event_rate(metrics: DataFrame, dims: list[str], width: str = "1 hour") -> Da
 
 
 def alert_log_context(df: DataFrame) -> DataFrame:
-    """Alert data as text, overlaid with the fixed fields (they win); null reads "null"."""
+    """Alert data as text, overlaid with the fixed fields (they win); null reads "null". Severity and
+    timestamp are the event's own texts where it has kept them. Nested values are JSON text."""
+    stamp, severity = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("severity")
+    if "timestamp_text" in df.columns:
+        stamp = F.coalesce("timestamp_text", stamp)
+    if "severity_text" in df.columns:
+        severity = F.coalesce("severity_text", severity)
     data = F.transform_values("data", lambda _, v: F.coalesce(v, F.lit("null")))
     fixed = F.create_map(
-        F.lit("timestamp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        F.lit("timestamp"), stamp,
         F.lit("service"), F.col("service"),
         F.lit("host"), F.col("host"),
-        F.lit("severity"), F.col("severity"),
+        F.lit("severity"), severity,
     )
     empty = F.create_map().cast("map<string,string>")
     return df.withColumn("context", text.merge_maps(F.coalesce(data, empty), fixed))

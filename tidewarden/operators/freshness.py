@@ -14,8 +14,8 @@ LOAD_GRACE_MS = 15 * 60_000
 
 
 def with_thresholds(observed: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Datasources that have a threshold configured."""
-    return observed.join(thresholds, "datasource", "inner")
+    """Datasources of an environment that have a threshold configured for it."""
+    return observed.join(thresholds, ["env", "datasource"], "inner")
 
 
 def stale(max_time: Column, threshold_ms: Column, now: Column) -> Column:
@@ -38,7 +38,8 @@ def freshness_metrics(df: DataFrame, now: Column) -> DataFrame:
 def stale_data_pager(
     probes: DataFrame, keys: list[str], order: list[str], throttle_ms: int = STALE_THROTTLE_MS
 ) -> DataFrame:
-    """Rows ts, max_time, threshold_ms, pager_key. Alerts and pages are throttled greedily."""
+    """Rows ts, max_time, threshold_ms, pager_key. Alerts and pages are throttled greedily; without a pager
+    key a stale row is an alert, and its end is nothing."""
     failing = stale(F.col("max_time"), F.col("threshold_ms"), F.col("ts"))
     return throttled(probes.withColumn("failing", failing), keys, order, throttle_ms * 1000)
 

@@ -47,13 +47,15 @@ def rising_edge(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def throttled(df: DataFrame, keys: list[str], order: list[str], gap_micros: int) -> DataFrame:
     """Greedy throttle over the failing rows; the first good row after a fired one resolves.
     A resolve does not reset the throttle clock, so a relapse within it stays silent.
-    Rows without a pager key are returned too, with `action` alert in place of trigger."""
+    Rows without a pager key come out with `action` alert in place of trigger, and resolve nothing."""
     columns = df.columns
     cuts = find_cuts(df, keys, order)
     fired = greedy_throttle(df.filter("failing"), keys, order, F.lit(gap_micros), cuts=cuts)
     seen = fired.unionByName(df.filter(~F.col("failing")))
     rows = OrderedRows(seen, keys, order, cuts).previous(_failed=F.col("failing"))
-    action = F.when(F.col("failing"), "trigger").when(F.col("_failed"), "resolve")
+    has_key = F.col("pager_key").isNotNull()
+    action = F.when(F.col("failing"), F.when(has_key, "trigger").otherwise("alert"))
+    action = action.when(F.col("_failed") & has_key, "resolve")
     return rows.df.select(*columns, action.alias("action")).filter(F.col("action").isNotNull())
 
 

@@ -209,7 +209,7 @@ def lag_details(count: str, threshold_ms: str) -> Column:
             ).alias("info"),
             F.struct(
                 period(threshold_ms).alias("threshold"), period("max_time").alias("delta")
-            ).alias("health"),
+            ).alias("limits"),
         ),
     )
 

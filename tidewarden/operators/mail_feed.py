@@ -1,4 +1,4 @@
-"""Mail feeds as a health signal: is there a recent mail from the right sender?"""
+"""Mail feeds as a sign of life: is there a recent mail from the right sender?"""
 
 from __future__ import annotations
 

@@ -85,8 +85,8 @@ def failed_jobs(items: DataFrame) -> DataFrame:
 
 
 def with_throttles(failed: DataFrame, throttles: DataFrame) -> DataFrame:
-    """Specific throttle per job, else the default."""
-    out = failed.join(throttles, "job", "left")
+    """Specific throttle per job of an environment, else the default."""
+    out = failed.join(throttles, ["env", "job"], "left")
     return out.withColumn(
         "throttle_ms", F.coalesce("throttle_ms", F.lit(FAILURE_THROTTLE_MS)).cast("long")
     )

@@ -236,23 +236,32 @@ _ISO_SQL = "strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 @query(
     "alert_mails",
     f"WITH {ALERT_SQL} SELECT arrival, '[' || severity || '] ' || service || ': ' || description AS subject, "
-    f"'timestamp: ' || {_ISO_SQL} || chr(10) || 'host: ' || host || chr(10) || 'k: ' || k AS body FROM v_alert",
+    f"'timestamp: ' || {_ISO_SQL} || chr(10) || 'host: ' || host || chr(10) || 'k: ' || k || chr(10) || 'none: null' AS body FROM v_alert",
 )
 def alert_mails(spark, sf):
-    return ev.alert_mails(views.alerts(spark, sf)).select("arrival", "subject", "body")
+    """An entry without a value reads "null"."""
+    none = F.create_map(F.lit("none"), F.lit(None).cast("string"))
+    alerts = views.alerts(spark, sf).withColumn("data", F.map_concat("data", none))
+    return ev.alert_mails(alerts).select("arrival", "subject", "body")
 
 
 @query(
     "alert_log_context",
-    f"WITH {ALERT_SQL} SELECT arrival, 'host: ' || host || chr(10) || 'k: ' || k || chr(10) || "
-    f"'service: ' || service || chr(10) || 'severity: ' || severity || chr(10) || 'timestamp: ' || {_ISO_SQL} "
-    "AS context FROM v_alert",
+    f"WITH {ALERT_SQL} SELECT arrival, 'host: ' || host || chr(10) || 'k: ' || k || chr(10) || 'none: null' || chr(10) || "
+    "'service: ' || service || chr(10) || 'severity: ' || lower(replace(severity, '_', '-')) || chr(10) || "
+    "'timestamp: ' || strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%SZ') AS context FROM v_alert",
 )
 def alert_log_context(spark, sf):
-    """The host field of the data loses against the fixed field."""
+    """The host field of the data loses against the fixed field; severity and timestamp are as they came."""
     alerts = views.alerts(spark, sf)
-    clash = F.create_map(F.lit("host"), F.lit("from data"))
-    alerts = alerts.withColumn("data", F.map_concat("data", clash))
+    clash = F.create_map(F.lit("host"), F.lit("from data"), F.lit("none"), F.lit(None).cast("string"))
+    alerts = alerts.withColumns(
+        {
+            "data": F.map_concat("data", clash),
+            "severity_text": F.lower(F.replace("severity", F.lit("_"), F.lit("-"))),
+            "timestamp_text": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        }
+    )
     return ev.alert_log_context(alerts).select("arrival", text.entry_lines("context").alias("context"))
 
 
@@ -328,12 +337,15 @@ def parse_statuses(spark, sf):
 
 @query(
     "undecodable_events",
-    f"WITH {_MESSAGES_SQL} SELECT 'Failed to process event from statuses' AS description, "
-    "error AS exception, count(*) AS n FROM v_message WHERE error IS NOT NULL GROUP BY 1, 2",
+    f"WITH {_MESSAGES_SQL} SELECT CASE WHEN error = 'missing field' THEN 'Failed to decode events from statuses' "
+    "ELSE 'Failed to process event from statuses' END AS description, error AS exception, "
+    "CASE WHEN error = 'missing field' THEN '{' || split_part(path, '/', 1) ELSE 'hey' END AS message, count(*) AS n "
+    "FROM v_message WHERE error IS NOT NULL GROUP BY 1, 2, 3",
 )
 def undecodable_events(spark, sf):
     bad = ev.isolate_failures(feeds.decode(_status_messages(spark, sf), "statuses"), "statuses")
-    return bad.groupBy("description", "exception").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.coalesce(F.get_json_object("message", "$.timestamp"), F.col("message")).alias("message")
+    return bad.groupBy("description", "exception", whole).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -431,10 +443,10 @@ def pager_mails(spark, sf):
 
 @query(
     "mail_outbox",
-    f"WITH {ALERT_SQL} SELECT arrival, '[health] [' || severity || '] ' || service || ': ' || description AS subject, "
+    f"WITH {ALERT_SQL} SELECT arrival, '[monitor] [' || severity || '] ' || service || ': ' || description AS subject, "
     "'ops@example.org' AS recipients, 'withheld' AS delivery FROM v_alert WHERE severity = 'SERVICE_FAILURE'",
 )
 def mail_outbox(spark, sf):
     mails = ev.alert_mails(ev.notify_alerts(views.alerts(spark, sf)))
-    out = outbox.mail_outbox(mails, "[health] %s", ("ops@example.org",), quiet=True)
+    out = outbox.mail_outbox(mails, "[monitor] %s", ("ops@example.org",), quiet=True)
     return out.select("arrival", "subject", "recipients", "delivery")

@@ -198,7 +198,7 @@ def lag_alerts(spark, sf):
         F.col("d.partition").alias("lag_partition"),
         F.col("d.info.messages.totalDelta").alias("total_delta"),
         F.col("d.info.time.avgDelta").alias("avg_time"),
-        F.col("d.health.delta").alias("delta"),
+        F.col("d.limits.delta").alias("delta"),
     )
 
 
@@ -565,7 +565,7 @@ def edge_trigger(spark, sf):
 
 @query(
     "probe_failure_pager",
-    f"WITH {_EDGE_SQL.format('user_id % 20')} SELECT event_id, 'health/agent/probe-failed/job' || k AS incident_key, "
+    f"WITH {_EDGE_SQL.format('user_id % 20')} SELECT event_id, 'agent/probe-failed/job' || k AS incident_key, "
     "CASE WHEN bad THEN 'trigger' ELSE 'resolve' END AS action FROM x WHERE bad OR was",
 )
 def probe_failure_pager(spark, sf):
@@ -577,7 +577,7 @@ def probe_failure_pager(spark, sf):
         F.lit("pk").alias("pager_key"),
     )
     out = incidents.every_failing(runs, ["job"], _ORDER)
-    return out.select("event_id", incidents.incident_key("health/agent/probe-failed", "job").alias("incident_key"), "action")
+    return out.select("event_id", incidents.incident_key("agent/probe-failed", "job").alias("incident_key"), "action")
 
 
 @query(
@@ -707,7 +707,8 @@ _STALE_SQL = E_SQL + """, p AS (
     f"WITH RECURSIVE {_STALE_SQL}, {greedy_sql('r', str(6 * HOUR_US))}, "
     "u AS (SELECT k, t, true AS bad FROM fired UNION ALL SELECT k, t, false FROM p WHERE NOT stale), "
     "v AS (SELECT *, lag(bad) OVER (PARTITION BY k ORDER BY t) AS was FROM u) "
-    "SELECT k AS user_id, t AS ts_us, CASE WHEN bad THEN 'trigger' ELSE 'resolve' END AS action FROM v WHERE bad OR was",
+    "SELECT k AS user_id, t AS ts_us, CASE WHEN bad AND k % 7 = 0 THEN 'alert' WHEN bad THEN 'trigger' ELSE 'resolve' END AS action "
+    "FROM v WHERE bad OR (was AND k % 7 <> 0)",
 )
 def stale_data_pager(spark, sf):
     probes = views.events(spark, sf).select(
@@ -716,7 +717,7 @@ def stale_data_pager(spark, sf):
         "event_id",
         shift("ts", -F.floor("value") * 60_000).alias("max_time"),
         (1_800_000 + (F.col("user_id") % 4) * 600_000).alias("threshold_ms"),
-        F.lit("pk").alias("pager_key"),
+        F.when(F.col("user_id") % 7 != 0, "pk").alias("pager_key"),
     )
     out = freshness.stale_data_pager(probes, ["user_id"], _ORDER, 6 * HOUR_US // 1000)
     return out.select("user_id", us().alias("ts_us"), "action")
@@ -724,17 +725,19 @@ def stale_data_pager(spark, sf):
 
 @query(
     "freshness_metrics",
-    f"WITH {E_SQL}, m AS (SELECT 'env' || (user_id % 3) AS env, 'ds' || user_id AS datasource, max(t) AS mt, min(user_id) AS u FROM e GROUP BY 1, 2) "
+    f"WITH {E_SQL}, m AS (SELECT 'env' || (event_id % 3) AS env, 'ds' || user_id AS datasource, max(t) AS mt, "
+    "min(event_id % 3) AS n, min(user_id) AS u FROM e GROUP BY 1, 2) "
     f"SELECT env, datasource, CAST(({NOW_US} // 1000 - mt // 1000) // 1000 AS DOUBLE) AS value, "
-    f"mt < {NOW_US} - (1 + u % 3) * {2 * HOUR_US} AS stale FROM m WHERE u % 5 <> 0",
+    f"mt < {NOW_US} - (1 + u % 3 + n) * {2 * HOUR_US} AS stale FROM m WHERE (u + n) % 5 <> 0",
 )
 def freshness_metrics(spark, sf):
+    """Each datasource stands in several environments with a threshold of its own in each."""
     seen = views.events(spark, sf).groupBy(
-        F.concat(F.lit("env"), (F.col("user_id") % 3).cast("string")).alias("env"),
+        F.concat(F.lit("env"), (F.col("event_id") % 3).cast("string")).alias("env"),
         F.concat(F.lit("ds"), F.col("user_id").cast("string")).alias("datasource"),
-    ).agg(F.max("ts").alias("max_time"), F.min("user_id").alias("u"))
-    thresholds = seen.filter(F.col("u") % 5 != 0).select(
-        "datasource", ((1 + F.col("u") % 3) * 2 * (HOUR_US // 1000)).alias("threshold_ms")
+    ).agg(F.max("ts").alias("max_time"), F.min(F.col("event_id") % 3).alias("n"), F.min("user_id").alias("u"))
+    thresholds = seen.filter((F.col("u") + F.col("n")) % 5 != 0).select(
+        "env", "datasource", ((1 + F.col("u") % 3 + F.col("n")) * 2 * (HOUR_US // 1000)).alias("threshold_ms")
     )
     known = freshness.with_thresholds(seen, thresholds).withColumn("broker", F.lit("b"))
     verdict = freshness.stale(F.col("max_time"), F.col("threshold_ms"), views.now())

@@ -173,11 +173,16 @@ def work_items(spark, sf):
 @query(
     "failed_jobs",
     f"WITH {_ITEM_SQL} SELECT env, replace(item_id, '.failed', '') AS job, coalesce(log, 'No log found for the job') AS log, "
-    "CAST(CASE WHEN item_id = 'job3.failed' THEN 0 ELSE 21600000 END AS BIGINT) AS throttle_ms FROM it WHERE item_id LIKE '%.failed%'",
+    "CAST(CASE WHEN item_id <> 'job3.failed' THEN 21600000 WHEN env % 4 = 1 THEN 0 ELSE 3600000 END AS BIGINT) AS throttle_ms "
+    "FROM it WHERE item_id LIKE '%.failed%'",
 )
 def failed_jobs(spark, sf):
     failed = pipes.failed_jobs(documents.work_items(_work_documents(spark, sf)))
-    specific = spark.range(1).select(F.lit("job3").alias("job"), F.lit(0).cast("long").alias("throttle_ms"))
+    specific = table(spark, sf, "orders").filter(F.col("o_orderkey") % 10 == 3).select(
+        F.col("o_orderkey").alias("env"),
+        F.lit("job3").alias("job"),
+        F.when(F.col("o_orderkey") % 4 == 1, 0).otherwise(3_600_000).cast("long").alias("throttle_ms"),
+    )
     return pipes.with_throttles(failed, specific).select("env", "job", "log", "throttle_ms")
 
 
@@ -651,14 +656,14 @@ def mail_digest(spark, sf):
 
 def _old_new(spark, sf) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf, "part")
-    old = part.filter(F.col("p_partkey") <= 1500).select("p_partkey", "p_size")
+    old = part.filter(F.col("p_partkey") % 4 != 0).select("p_partkey", "p_size")
     size = F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))
-    return old, part.filter(F.col("p_partkey") > 500).select("p_partkey", size.alias("p_size"))
+    return old, part.filter(F.col("p_partkey") % 5 != 0).select("p_partkey", size.alias("p_size"))
 
 
 _CFG_SQL = (
-    "o AS (SELECT p_partkey, p_size FROM part WHERE p_partkey <= 1500), "
-    "n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey > 500)"
+    "o AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 4 <> 0), "
+    "n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 5 <> 0)"
 )
 
 

@@ -90,14 +90,25 @@ def _interval(text: Column) -> Column:
 
 
 def work_items(df: DataFrame) -> DataFrame:
-    """Array of [id, object] pairs; of the same id the later one counts."""
+    """Array of [id, object] pairs; of the same id the later one counts. Decided within each document, by
+    sorting its pairs by id and place."""
     pairs = F.from_json("doc", "array<array<string>>")
     rest = _rest(df)
-    each = df.select(*rest, F.posexplode(pairs).alias("_at", "_pair"))
-    each = each.select(
-        *rest, "_at", F.get("_pair", F.lit(0)).alias("item_id"), F.get("_pair", F.lit(1)).alias("_raw")
+    placed = F.array_sort(
+        F.transform(
+            pairs,
+            lambda p, i: F.struct(F.get(p, F.lit(0)).alias("id"), i.alias("at"), F.get(p, F.lit(1)).alias("raw")),
+        )
     )
-    last = each.groupBy(*rest, "item_id").agg(F.max_by("_raw", "_at").alias("_raw"))
+
+    def last_ones(found: Column) -> Column:
+        def is_last(p: Column, i: Column) -> Column:
+            return (i == F.size(found) - 1) | ~F.get(found, i + 1)["id"].eqNullSafe(p["id"])
+
+        return F.filter(found, is_last)
+
+    last = df.select(*rest, F.explode(bind(placed, last_ones)).alias("_p"))
+    last = last.select(*rest, F.col("_p.id").alias("item_id"), F.col("_p.raw").alias("_raw"))
     out = last.select(*rest, "item_id", F.inline(F.array(F.from_json("_raw", PIPE))))
     return out.select(
         *rest,

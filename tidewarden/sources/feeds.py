@@ -17,9 +17,12 @@ PARSERS = {
 }
 
 
-def read_kafka(spark: SparkSession, feed: str, servers: str, max_per_trigger: int = 5_000_000) -> DataFrame:
+def read_kafka(
+    spark: SparkSession, feed: str, servers: str, max_per_trigger: int = 5_000_000, cluster: str = ""
+) -> DataFrame:
     """A feed from Kafka, from the newest offset when there is no checkpoint yet. Needs the Kafka
-    connector on the classpath; offsets are committed by the query's checkpoint."""
+    connector on the classpath; offsets are committed by the query's checkpoint. Offsets count within a
+    partition of a cluster only, so both are carried."""
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -31,6 +34,8 @@ def read_kafka(spark: SparkSession, feed: str, servers: str, max_per_trigger: in
     return raw.select(
         F.col("value").cast("string").alias("payload"),
         F.col("timestamp").alias("received_at"),
+        F.lit(cluster or servers).alias("cluster"),
+        F.col("partition"),
         F.col("offset").alias("arrival"),
     )
 
@@ -52,13 +57,14 @@ def read_feeds(sources: list[DataFrame]) -> DataFrame:
 
 
 def decode(df: DataFrame, feed: str) -> DataFrame:
-    """One message holds no, one or several events. Rows carry the parsed event or `error`."""
+    """One message holds no, one or several events. Rows carry `position`, the event's place in its
+    message, and the parsed event or `error` and `raw`."""
     text = F.trim("payload")
     single = F.array(text)
     many = F.from_json(text, "array<string>")
     parts = F.when(text.startswith("["), F.coalesce(many, single)).otherwise(single)
     rest = [c for c in df.columns if c != "payload"]
-    exploded = df.select(*rest, F.explode(parts).alias("payload"))
+    exploded = df.select(*rest, F.posexplode(parts).alias("position", "payload"))
     return PARSERS[feed](exploded)
 
 
