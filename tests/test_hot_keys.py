@@ -391,3 +391,39 @@ def test_cuts_of_a_table_serve_its_subsets(spark, split):
 
 def test_clock_is_utc(spark):
     assert spark.range(1).select(F.unix_micros(at("2024-01-31T00:00:00"))).first()[0] == 1_706_659_200_000_000
+
+
+def test_segments_have_no_ceiling(spark, split):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") < 12_000, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 800).cast("string"))).alias("key"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        "id",
+    )
+    cuts = find_cuts(df, ["key"], ["ts", "id"])
+    assert cuts.segments > 1024
+    sizes = cuts.mark(df, ["ts", "id"]).groupBy("key", "_hot", "_seg").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 20
+    assert sizes.filter("_hot").select("key").distinct().count() > 700
+    out = OrderedRows(df, ["key"], ["ts", "id"]).running(n=F.lit(1)).df
+    assert out.filter("key = 'hot'").agg(F.max("n")).first()[0] == 12_000
+
+
+def test_cut_points_too_many_to_broadcast(spark, split):
+    from tidewarden.operators.segments import BROADCAST_CONF
+
+    rows = _same_instant(5)
+    df = _frame(spark, rows)
+    cuts = find_cuts(df, ["key"], ["ts", "id"])
+    searched = {r["id"]: (r["_seg"], r["_hot"]) for r in cuts.mark(df, ["ts", "id"]).collect()}
+    spark.conf.set(BROADCAST_CONF, "1")
+    try:
+        carried = {r["id"]: (r["_seg"], r["_hot"]) for r in cuts.mark(df, ["ts", "id"]).collect()}
+        out = OrderedRows(df, ["key"], ["ts", "id"]).previous(before="id").df.collect()
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+    assert carried == searched
+    want = {}
+    for group in _by_key(rows).values():
+        for j, row in enumerate(group):
+            want[row[2]] = group[j - 1][2] if j else None
+    assert {r["id"]: r["before"] for r in out} == want

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_text, period_text, round_half_up
-from .segments import broadcast_if_small, materialize
+from .segments import broadcast_under, materialize
 
 PARTITION = ["topic", "partition"]
 CONSUMER = ["env", "consumer_group", "topic"]
@@ -86,7 +86,7 @@ def measure_backlog(consumers: DataFrame, log: DataFrame, keys: list[str]) -> Da
     lookups = bounded.select(*one, F.explode(both).alias("l")).select(
         *one, "l.at_broker", "l.offset"
     )
-    wanted = broadcast_if_small(lookups.select(*PARTITION, "offset").distinct())
+    wanted = broadcast_under(lookups.select(*PARTITION, "offset").distinct())
     times = (
         log.select(*PARTITION, "offset", "header")
         .join(wanted, [*PARTITION, "offset"], "inner")

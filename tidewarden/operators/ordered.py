@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .segments import HOT, SEG, Cuts, find_cuts, materialize
-
-BROADCAST_SEGMENTS = 50_000
+from .segments import HOT, SEG, Cuts, broadcast_under, find_cuts
 
 
 def _column(value: Column | str) -> Column:
@@ -68,9 +66,7 @@ class OrderedRows:
         renamed = carry.select(
             *[F.col(c).alias("_c_" + c) for c in on], *[F.col(n) for n in names]
         )
-        renamed = materialize(renamed)
-        if self.cuts.segments <= BROADCAST_SEGMENTS:
-            renamed = F.broadcast(renamed)
+        renamed = broadcast_under(renamed)
         condition = F.col(HOT)
         for c in on:
             condition = condition & df[c].eqNullSafe(renamed["_c_" + c])

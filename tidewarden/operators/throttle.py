@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .ordered import OrderedRows, _column
 from .segments import (
-    HOT, MAX_SEGMENTS, SEG, Cuts, find_cuts, materialize, position, same_keys,
+    HOT, SEG, Cuts, find_cuts, materialize, position, same_keys,
 )
 
 _HELPERS = ("_first", "_pos", "_gap", "_from")
@@ -176,7 +176,7 @@ def greedy_throttle(
     if not cuts.split:
         return fired
     return fired.unionByName(
-        _fire_hot(base.filter(HOT), df, keys, order, gap, start, strict, columns)
+        _fire_hot(base.filter(HOT), df, keys, order, gap, start, strict, columns, cuts.segments)
     )
 
 
@@ -192,7 +192,7 @@ def _fire_cold(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
     return marked.mapInArrow(_fired_rows(strict), rows.select(*columns).schema)
 
 
-def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
+def _fire_hot(rows, df, keys, order, gap, start, strict, columns, segments) -> DataFrame:
     pos = position(df, order[0])
     instants = (
         rows.select(
@@ -217,7 +217,7 @@ def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
         + [T.StructField("_at", T.IntegerType()), T.StructField("_from", T.LongType())]
     )
     steps = instants.groupBy(*keys, SEG).applyInPandas(_segment_steps(strict, keys), step_schema)
-    levels, span = [materialize(steps)], MAX_SEGMENTS
+    levels, span = [materialize(steps)], segments
     while span > _FAN:
         above = levels[-1].groupBy(*keys, F.floor(F.col("_at") / _FAN)).applyInPandas(
             _compose_segments(strict, keys), step_schema

@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", app: str = "tidewarden", **conf: str)
         .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .config("spark.driver.memory", os.environ.get("TIDEWARDEN_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
