@@ -148,11 +148,12 @@ def code_text() -> Column:
 
 
 def history_text(
-    results: DataFrame, keys: list[str], order: list[str], longest: int, cuts: Cuts | None = None
+    results: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None
 ) -> DataFrame:
-    """`history`: the last max(fail_count, resolve_count) codes of a check joined by ", ".
-    `longest` is the largest such number over all definitions."""
+    """`history`: the last max(fail_count, resolve_count) codes of a check joined by ", ". The window is
+    as long as the largest such number in the table."""
     columns = results.columns
+    longest = results.agg(F.max(F.greatest("fail_count", "resolve_count"))).first()[0] or 1
     rows = OrderedRows(results.withColumn("_p0", code_text()), keys, order, cuts)
     for i in range(1, longest):
         rows = rows.previous(**{f"_p{i}": F.col(f"_p{i - 1}")})

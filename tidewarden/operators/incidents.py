@@ -86,7 +86,7 @@ def failed_job_pager(probes: DataFrame, failed: DataFrame) -> DataFrame:
     `probes`: env, ts, one row per probe. `failed`: env, job, ts, throttle_ms, pager_key. The first
     sighting is only noted, the second pages, later ones page again once more than the throttle has
     passed since the last page; throttle 0 never pages. A job that is missing from the next probe
-    is resolved if it was paged, and forgotten."""
+    is resolved if it was paged, and forgotten. A `log` of the failed jobs goes along with the trigger."""
     numbered = OrderedRows(probes.select("env", "ts").distinct(), ["env"], ["ts"])
     numbered = numbered.running(seq=F.lit(1).cast("long")).df
     jobs = ["env", "job"]
@@ -108,9 +108,11 @@ def failed_job_pager(probes: DataFrame, failed: DataFrame) -> DataFrame:
     gone = ends.filter(F.col("_pages") & (F.col("_sightings") > 1)).join(
         numbered, ["env", "seq"], "inner"
     )
-    out = pages.select("env", "job", "ts", "pager_key", F.lit("trigger").alias("action"))
+    log = ["log"] if "log" in failed.columns else []
+    out = pages.select("env", "job", "ts", "pager_key", F.lit("trigger").alias("action"), *log)
     out = out.unionByName(
-        gone.select("env", "job", "ts", "pager_key", F.lit("resolve").alias("action"))
+        gone.select("env", "job", "ts", "pager_key", F.lit("resolve").alias("action")),
+        allowMissingColumns=True,
     )
     return _paged(out).withColumn("incident_key", incident_key("pipes/failed", "env", "job"))
 

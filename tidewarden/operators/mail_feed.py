@@ -37,3 +37,27 @@ def mail_counts(
         F.max(F.when(match, millis("issued"))).alias("newest_matching_ms"),
         (fresh > 0).alias("ok"),
     )
+
+
+def mail_predicate(
+    responses: DataFrame, entries: DataFrame, keys: list[str], now: Column, sender: str, title_regex: str = ".*",
+    threshold_ms: int = 2 * 3_600_000,
+) -> DataFrame:
+    """The verdict on responses of mail feeds (`keys`, status_code) with the mails read from their bodies:
+    good if the answer was 200 and some matching mail is recent. Adds the counts, ok and `data`, the counts
+    as a string map; a feed without mails has counts of 0."""
+    counts = mail_counts(entries, now, sender, title_regex, threshold_ms, keys).drop("ok")
+    found = responses.join(counts, keys, "left")
+    names = ("total_mails", "matching_mails", "recent_mails")
+    found = found.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in names})
+    ok, data = counted()
+    return found.withColumns({"ok": ok, "data": data})
+
+
+def counted(**definition) -> tuple[Column, Column]:
+    """(ok, data) columns over status_code and the mail counts of a response: the builder of predicates of
+    type gmailRss, whose definition says which mails were counted."""
+    names = ("total_mails", "matching_mails", "recent_mails", "newest_matching_ms")
+    shown = [x for n in names for x in (F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit("null")))]
+    fresh = F.coalesce(F.col("recent_mails") > 0, F.lit(False))
+    return F.coalesce(F.col("status_code") == 200, F.lit(False)) & fresh, F.create_map(*shown)

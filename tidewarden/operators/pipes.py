@@ -61,8 +61,10 @@ def pipe_backlog(
 
 
 def backlog_metrics(backlog: DataFrame) -> DataFrame:
+    """Metric `pipe/backlog` of rows env, control (the service that runs the pipes), pipe_id, channel."""
     dims = F.create_map(
         F.lit("pipesBacklogEnvironment"), F.array("env"),
+        F.lit("pipesBacklogControl"), F.array("control"),
         F.lit("pipesBacklogPipeId"), F.array("pipe_id"),
         F.lit("pipesBacklogChannel"), F.array(F.coalesce("channel", F.lit("null"))),
     )

@@ -306,7 +306,7 @@ def streak_verdicts(spark, sf):
     "ON a.grp = b.grp AND a.name = b.name AND b.rn <= a.rn AND b.rn > a.rn - a.n GROUP BY 1",
 )
 def probe_history_text(spark, sf):
-    return ck.history_text(views.checks(spark, sf), ["group", "name"], _ORDER, 3).select("event_id", "history")
+    return ck.history_text(views.checks(spark, sf), ["group", "name"], _ORDER).select("event_id", "history")
 
 
 @query(
@@ -495,7 +495,7 @@ def failure_details(spark, sf):
     cuts = find_cuts(rows, keys, _ORDER)
     rows = ck.streaks(rows, keys, _ORDER, cuts)
     rows = ck.latest_values(rows, keys, _ORDER, cuts)
-    rows = ck.history_text(rows, keys, _ORDER, 3, cuts).filter(F.col("verdict") == "failed")
+    rows = ck.history_text(rows, keys, _ORDER, cuts).filter(F.col("verdict") == "failed")
 
     def field(name):
         return F.get_json_object("details", f"$['{name}']")

@@ -40,7 +40,7 @@ def _backlog(spark, sf) -> DataFrame:
     work = pipes.min_work_time(views.work_items(spark, sf), ["pipe_id"])
     periods = channels.select("pipe_id", F.col("specific_ms").alias("period_ms"))
     out = pipes.pipe_backlog(channels.drop("specific_ms"), work, periods, at(_CLOCK), ["pipe_id"])
-    return out.withColumn("env", F.lit("main"))
+    return out.withColumns({"env": F.lit("main"), "control": F.lit("ctl")})
 
 
 _BACKLOG_SQL = f"""{WORK_SQL}, {_CHANNEL_SQL}, mw AS (SELECT pipe_id, min(start_us) AS m FROM v_work GROUP BY 1),
@@ -62,13 +62,14 @@ def pipe_backlog(spark, sf):
 
 @query(
     "backlog_metrics",
-    f"WITH {_BACKLOG_SQL} SELECT 'pipe/backlog' AS metric, pipe_id, coalesce(channel, 'null') AS channel, "
+    f"WITH {_BACKLOG_SQL} SELECT 'pipe/backlog' AS metric, 'ctl' AS control, pipe_id, coalesce(channel, 'null') AS channel, "
     "CAST(lag_seconds AS DOUBLE) AS value FROM b",
 )
 def backlog_metrics(spark, sf):
     out = pipes.backlog_metrics(_backlog(spark, sf))
     return out.select(
         "metric",
+        F.col("dims.pipesBacklogControl")[0].alias("control"),
         F.col("dims.pipesBacklogPipeId")[0].alias("pipe_id"),
         F.col("dims.pipesBacklogChannel")[0].alias("channel"),
         "value",
