@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, sampling
+from .spread import small_batches
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 48
@@ -224,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ro
                 yield pa.RecordBatch.from_arrays([label, flat], ["label", "lines"])
 
     sample = sampling.labelled(docs, labels, "quality", rows, learn_from).select("text", "_label")
-    table = sample.mapInArrow(stretch, "label long, lines array<double>").toArrow().combine_chunks()
+    table = small_batches(sample).mapInArrow(stretch, "label long, lines array<double>").toArrow().combine_chunks()
     if not table.num_rows:
         return None
     good = table["label"].to_numpy() > 0
@@ -253,4 +254,4 @@ def scores(docs: DataFrame, model: dict | None, good_above: float = GOOD_ABOVE)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found), predicted], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(judge, f"doc_id {kind}, score double, predicted int")

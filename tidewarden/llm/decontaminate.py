@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .spread import small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -217,7 +218,7 @@ def links(docs: DataFrame, benchmark: DataFrame, at_least: float = SIMILARITY, b
                         names = ["doc_id", "item_id", "start_word", "n_words", "similarity"]
                         yield pa.RecordBatch.from_arrays(columns, names)
 
-        found = docs.select("doc_id", "text").mapInArrow(search, schema)
+        found = small_batches(docs.select("doc_id", "text")).mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -237,5 +238,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, at_least: float = SIMILARITY, b
                 }
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(keep, out.schema)
+        out = small_batches(out).mapInArrow(keep, out.schema)
     return out.toDF(*docs.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
+from .spread import small_batches
 
 PER_LANGUAGE = 600
 BUCKETS = 1 << 14  # for each kind of run
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = P
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "value"])
 
     schema = "lang string, bucket array<int>, value array<float>"
-    table = sample.select("lang", "text").mapInArrow(describe, schema).toArrow().combine_chunks()
+    table = small_batches(sample.select("lang", "text")).mapInArrow(describe, schema).toArrow().combine_chunks()
     if not table.num_rows:
         return None
     language = np.array(table["lang"].to_pylist(), object)
@@ -251,4 +252,4 @@ def languages(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")

@@ -107,7 +107,12 @@ def dedup(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     found = trimmed(docs)
     if drop_emptied:
         found = found.filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:  # the length follows the text
+        kind = docs.schema["n_chars"].dataType
+        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(kind)
+        new["n_chars"] = length.alias("n_chars")
+    return found.select(*(new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
 
 
 SQL = """

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.segments import materialize
 from . import arrays
 from .components import components
-from .spread import attach, groups, sorted_groups
+from .spread import attach, groups, small_batches, sorted_groups
 
 BANDS = 32
 ROWS = 5
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
 
     schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, schema)
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(sketch, schema)
 
 
 def estimates(bits: np.ndarray, one: np.ndarray) -> np.ndarray:

@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 from ..operators.segments import materialize
 from . import arrays
 from .memo import Memo
+from .spread import small_batches
 
 CAPACITY = 1024
 END_ID = 2
 SLICES = 1 << 16  # of all lengths together, besides one for each length
 ENCODED_AT_ONCE = 2048
-REMEMBERED = 1_000_000  # cuttings, in each worker process
+REMEMBERED = 600_000  # cuttings, in each worker process
 SLICE_ROWS = 4096  # a slice is not made smaller than this
 
 _RUN = "length long, first long, n long, sequence long, offset long"
@@ -156,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(cut, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import arrays
 from .memo import Memo
+from .spread import small_batches
 
 _UNKNOWN = 1 << 40
 
@@ -156,4 +157,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")

@@ -1,4 +1,4 @@
-"""Joins that stay even when a key holds a large part of all rows, and groups read from sorted partitions."""
+"""Batches of bounded size, joins that stay even when a key holds a large part of all rows, and groups read from sorted partitions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_SHARE = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows are about to go to Python: in Arrow batches of a few megabytes, unless the session has
+    set a limit of its own. Texts are walked in slices of that size anyway."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, "67108864b") == "67108864b":
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
 
 
 def attach(

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, sampling
+from .spread import small_batches
 
 SAMPLE_ROWS = 8192
 TREES = 40
@@ -111,7 +112,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     """Boost the trees on at most `rows` labelled documents; None without documents of both kinds."""
     sample = sampling.labelled(docs, labels, "quality", rows).select("text", "_label")
-    table = sample.mapInArrow(_statistics, "label long, features array<double>").toPandas()
+    table = small_batches(sample).mapInArrow(_statistics, "label long, features array<double>").toPandas()
     y = table["label"].to_numpy(np.int64) if len(table) else np.zeros(0, np.int64)
     if not (0 < (y > 0).sum() < len(y)):
         return None
@@ -209,7 +210,7 @@ def verdicts(docs: DataFrame, model: dict | None, keep_above: float = KEEP_ABOVE
     out = f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}"
     out += "".join(f", {c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
     out += "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_fields)
-    return chosen.mapInArrow(judge, out)
+    return small_batches(chosen).mapInArrow(judge, out)
 
 
 def keep_good(docs: DataFrame, model: dict | None) -> DataFrame:
