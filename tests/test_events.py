@@ -171,8 +171,8 @@ def test_outboxes(spark):
 
 def test_sinks_write_partitioned(spark, tmp_path):
     good = events.good(events.parse_heartbeats(_messages(spark, BEAT)))
-    outbox.write_metrics(events.heartbeat_metrics(good), str(tmp_path / "m"))
-    outbox.write_events(good, "heartbeats", str(tmp_path / "e"))
+    outbox.write_metrics(events.heartbeat_metrics(good), str(tmp_path / "m"), 0)
+    outbox.write_events(good, "heartbeats", str(tmp_path / "e"), 0)
     assert spark.read.parquet(str(tmp_path / "m")).first()["day"].isoformat() == "2000-01-01"
     row = spark.read.parquet(str(tmp_path / "e")).first()
     assert json.loads(row["payload"])["feed"] == row["feed"] == "heartbeats"

@@ -10,6 +10,7 @@ from tidewarden.operators import (
     checks, events, freshness, incidents, lag, silence, status, throttle, topology,
 )
 from tidewarden.plans import views
+from tidewarden.sinks import outbox
 from tidewarden.sinks.status_store import StatusStore, create_status_tables
 from tidewarden.sources import feeds
 from tidewarden.streaming import jobs, processors, rules
@@ -264,6 +265,13 @@ def test_feed_jobs_write_outboxes(spark, tmp_path):
     jobs.heartbeat_job(root, lambda: spark.createDataFrame([("a1",)], "agent string"))(batch, 0)
     assert [r["agent"] for r in spark.read.parquet(f"{root}/heartbeats").collect()] == ["a1"]
     assert [r["agent"] for r in spark.read.parquet(f"{root}/unexpected").collect()] == ["zz"]
+    for number, (stamp, pages_) in enumerate((("2024-01-01T00:10:00Z", 0), ("2024-01-01T00:24:00Z", 0), ("2024-01-01T00:40:00Z", 1)), 1):
+        again = spark.createDataFrame([(json.dumps({**beat, "agent": "zz", "timestamp": stamp}),)], "payload string")
+        for _ in range(2):  # a repeat of the batch changes nothing
+            jobs.heartbeat_job(root, lambda: spark.createDataFrame([("a1",)], "agent string"))(again, number)
+        assert spark.read.parquet(f"{root}/unexpected/batch={number}").count() == pages_
+    alerts = spark.read.parquet(f"{root}/alerts/alerts").collect()
+    assert [(r["description"], r["n"]) for r in alerts] == [("Failed to process event from alerts", 1)]
 
 
 def test_silence_watchdog_pages_and_resolves(spark, tmp_path):
@@ -290,6 +298,55 @@ def test_silence_watchdog_pages_and_resolves(spark, tmp_path):
         query.stop()
 
 
+def test_configuration_changes(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "agent string") for xs in ("ab", "bc"))
+    rows = {tuple(r) for r in processors.configuration_changes(a, b).collect()}
+    assert rows == {("a", "removed"), ("c", "config")} and processors.configuration_changes(a, a).count() == 0
+
+
+def test_a_removed_agent_is_not_paged(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "agent string, kind string"
+    spark.createDataFrame([("a", "config"), ("b", "config")], schema).coalesce(1).write.parquet(f"{source}/1")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+    query = (
+        processors.silence_watchdog(stream, 12_000).writeStream.format("memory").queryName("removed")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+    )
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not (query.lastProgress or {}).get("numInputRows"):
+            time.sleep(0.2)
+        spark.createDataFrame([("a", "removed"), ("b", "config")], schema).coalesce(1).write.parquet(f"{source}/2")
+        while time.time() < deadline and not spark.table("removed").count():
+            time.sleep(0.5)
+        time.sleep(1)
+        assert [tuple(r)[:2] for r in spark.table("removed").collect()] == [("b", "trigger")]
+    finally:
+        query.stop()
+
+
+def test_status_tables_hold_the_published_state(spark, tmp_path):
+    rows = views.statuses(spark, SF)
+    store = StatusStore(spark, str(tmp_path / "store"), history_size=2)
+    store.upsert(rows, 0)
+    create_status_tables(spark, "default", str(tmp_path / "tables"))
+    try:
+        for _ in range(2):
+            store.publish("default")
+        assert spark.table("default.status_current").count() == store.read("current").count()
+        assert spark.table("default.status_history").count() == store.read("history").count()
+    finally:
+        for name in ("current", "history"):
+            spark.sql(f"DROP TABLE default.status_{name}")
+
+
+def test_metrics_of_a_repeated_batch_count_once(spark, tmp_path):
+    metrics = events.heartbeat_metrics(views.heartbeats(spark, SF))
+    for _ in range(2):
+        outbox.write_metrics(metrics, str(tmp_path), 3)
+    assert spark.read.parquet(str(tmp_path)).count() == metrics.count()
+
+
 def test_mail_digest_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "subject string, body string, arrival bigint"

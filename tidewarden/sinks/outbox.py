@@ -56,9 +56,14 @@ def pager_mails(outbox: DataFrame, service: str) -> DataFrame:
     )
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.withColumn("day", F.to_date("created")).write.mode("append").partitionBy("day").parquet(path)
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """A micro-batch in a folder of its own, replacing what an earlier attempt of it may have left."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def write_events(df: DataFrame, feed: str, path: str) -> None:
-    to_event_map(df, feed).write.mode("append").partitionBy("feed").parquet(path)
+def write_metrics(metrics: DataFrame, path: str, batch_id: int) -> None:
+    write_batch(metrics.withColumn("day", F.to_date("created")), path, batch_id)
+
+
+def write_events(df: DataFrame, feed: str, path: str, batch_id: int) -> None:
+    write_batch(to_event_map(df, feed), f"{path}/feed={feed}", batch_id)

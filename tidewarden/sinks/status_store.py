@@ -97,3 +97,8 @@ class StatusStore:
                 merged.write.mode("overwrite").parquet(f"{self.root}/{table}/base={batch_id}")
             other = 1 if self._marks("bases/slot=0") == [base] else 0
             self._mark(f"bases/slot={other}", batch_id, "overwrite")
+
+    def publish(self, database: str) -> None:
+        """Write the committed state into the catalog tables of `create_status_tables`, each as a whole."""
+        for table in TABLES:
+            self.read(table).write.mode("overwrite").insertInto(f"{database}.status_{table}")

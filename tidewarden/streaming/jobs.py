@@ -8,22 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import events, silence
+from ..operators import events, pages, silence
 from ..sinks import outbox
+from ..sinks.outbox import write_batch
 from ..sinks.status_store import StatusStore
 from ..sources import feeds
+from .processors import mail_digests, silence_watchdog
 
 Handler = Callable[[DataFrame, int], None]
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
 def start(
     df: DataFrame, handler: Handler, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -32,7 +31,13 @@ def start(
 
 
 def _bad_rows(decoded: DataFrame, feed: str, root: str, batch_id: int) -> None:
-    write_batch(events.isolate_failures(decoded, feed), f"{root}/dead_letters/{feed}", batch_id)
+    """Messages that failed, and one alert for each kind of failure with the number and one message."""
+    bad = events.isolate_failures(decoded, feed)
+    write_batch(bad, f"{root}/dead_letters/{feed}", batch_id)
+    alerts = bad.groupBy("description", "exception").agg(
+        F.count(F.lit(1)).alias("n"), F.min("message").alias("first_sample")
+    )
+    write_batch(alerts, f"{root}/alerts/{feed}", batch_id)
 
 
 def status_job(spark: SparkSession, source: DataFrame, root: str, compat: bool = False) -> Handler:
@@ -100,8 +105,48 @@ def pager_job(root: str, quiet: bool = False, mail_only: bool = False) -> Handle
     return handle
 
 
+def digest_stream(
+    source: DataFrame, waits_ms: list[int], cutoff: int, severity: str = "service-failure"
+) -> DataFrame:
+    """Digests of the mails of a stream of alert messages; each message needs an arrival."""
+    good = events.good(feeds.decode(source, "alerts"))
+    mails = events.alert_mails(events.notify_alerts(good, severity))
+    return mail_digests(mails.select("subject", "body", "arrival"), waits_ms, cutoff)
+
+
+def watchdog_stream(source: DataFrame, configuration: DataFrame, period_ms: int) -> DataFrame:
+    """Actions for silent agents from a stream of heartbeat messages and a stream of configuration rows
+    (agent, kind)."""
+    beats = events.good(feeds.decode(source, "heartbeats")).select("agent", F.lit("heartbeat").alias("kind"))
+    return silence_watchdog(beats.unionByName(configuration.select("agent", "kind")), period_ms)
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/batch={batch_id - 1}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _strangers(good: DataFrame, config: DataFrame, root: str, batch_id: int) -> None:
+    """Pages for unexpected agents that were not seen for the gap, in this batch or before. The last
+    sighting of each is kept from batch to batch."""
+    seen = good.join(config, "agent", "left_anti").select("agent", "ts", "service", "host").withColumn("old", F.lit(False))
+    before = _earlier(good.sparkSession, f"{root}/strangers", batch_id)
+    if before is not None:
+        seen = seen.unionByName(before.withColumn("old", F.lit(True)))
+    order = F.xxhash64("service", "host", "old").alias("arrival")
+    found = silence.unexpected_agents(seen.select("*", order), config).filter(~F.col("old"))
+    columns = ["agent", "ts", "service", "host"]
+    write_batch(pages.unexpected_agent(found.select(*columns)), f"{root}/unexpected", batch_id)
+    last = seen.groupBy("agent").agg(F.max_by(F.struct("ts", "service", "host"), F.struct("ts", "service", "host")).alias("l"))
+    write_batch(last.select("agent", "l.*"), f"{root}/strangers", batch_id)
+
+
 def heartbeat_job(root: str, expected: Callable[[], DataFrame]) -> Handler:
-    """Heartbeats: receipts of expected agents, strangers, metrics. The configuration is read
+    """Heartbeats: receipts of expected agents, pages for strangers, metrics. The configuration is read
     anew for every micro-batch, so a change takes effect with the next one."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -109,8 +154,7 @@ def heartbeat_job(root: str, expected: Callable[[], DataFrame]) -> Handler:
         try:
             good, config = events.good(decoded), expected()
             write_batch(silence.expected_only(good, config), f"{root}/heartbeats", batch_id)
-            strangers = good.join(config, "agent", "left_anti")
-            write_batch(strangers, f"{root}/unexpected", batch_id)
+            _strangers(good, config, root, batch_id)
             metrics = events.prefix_dims(events.heartbeat_metrics(good))
             write_batch(metrics, f"{root}/metrics/heartbeats", batch_id)
             _bad_rows(decoded, "heartbeats", root, batch_id)

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.configs import new_keys
 from .rules import Rule
 
 STATE = "state string"
@@ -64,9 +66,10 @@ def apply_rule(
 class SilenceWatchdog(StatefulProcessor):
     """Pages when an expected agent is silent for longer than a period, resolves when it is back.
 
-    Rows: agent, kind (`config` when the agent became expected or the configuration was reloaded,
-    else `heartbeat`). A reload resets the clock, not the down flag. Heartbeats of agents that are
-    not expected are left to the unexpected-agent check."""
+    Rows: agent, kind: `config` when the agent is in the configuration, `removed` when it is no longer,
+    else `heartbeat`. A configuration that names a known agent again changes nothing; a removed agent is
+    forgotten with its timer, and is not paged. Heartbeats of agents that are not expected are left to the
+    unexpected-agent check."""
 
     def __init__(self, period_ms: int):
         self.period_ms = period_ms
@@ -81,7 +84,13 @@ class SilenceWatchdog(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         kinds = {kind for batch in rows for kind in batch["kind"]}
         known = self.state.exists()
-        if not known and "config" not in kinds:
+        if "removed" in kinds:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if known:
+                self.state.clear()
+            return
+        if (not known and "config" not in kinds) or (known and kinds == {"config"}):
             return
         now = self._clock(timerValues)
         down = self.state.get()[1] if known else False
@@ -93,6 +102,8 @@ class SilenceWatchdog(StatefulProcessor):
             yield pd.DataFrame({"agent": [key[0]], "action": ["resolve"], "at_ms": [now]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.state.exists():
+            return
         seen, down = self.state.get()
         if not down:
             self.state.update((seen, True))
@@ -104,6 +115,13 @@ class SilenceWatchdog(StatefulProcessor):
         pass
 
 
+def configuration_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows agent, kind for the watchdog from two configurations: added and removed agents. The same
+    configuration again gives no rows."""
+    gone = new_keys(after, before, "agent").withColumn("kind", F.lit("removed"))
+    return new_keys(before, after, "agent").withColumn("kind", F.lit("config")).unionByName(gone)
+
+
 def silence_watchdog(df: DataFrame, period_ms: int) -> DataFrame:
     return df.groupBy("agent").transformWithStateInPandas(
         statefulProcessor=SilenceWatchdog(period_ms),
