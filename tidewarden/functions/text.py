@@ -29,10 +29,13 @@ def trim_body(body: Column | str, limit: int = 1024) -> Column:
 
 def limit_body(body: Column | str, limit: int = 100_000) -> Column:
     """Mail body cut at `limit` characters with the number of characters left out."""
-    body = _c(body)
-    left_out = F.format_number(F.length(body) - limit, 0)
-    cut = F.concat(F.substring(body, 1, limit), F.lit(" ... ("), left_out, F.lit(" more chars)"))
-    return F.when(F.length(body) > limit, cut).otherwise(body)
+
+    def cut(text: Column) -> Column:
+        left_out = F.format_number(F.length(text) - limit, 0)
+        short = F.concat(F.substring(text, 1, limit), F.lit(" ... ("), left_out, F.lit(" more chars)"))
+        return F.when(F.length(text) > limit, short).otherwise(text)
+
+    return bind(_c(body), cut)
 
 
 def mask_user_info(uri: Column | str) -> Column:
