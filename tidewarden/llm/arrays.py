@@ -9,6 +9,7 @@ not depend on word lengths. Callers walk a batch in slices of a few megabytes, w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+#: glibc's call for it; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SLICE_BYTES = 1 << 21
 SLICE_TEXTS = 1 << 13
 _BLOCK = 1 << 20
@@ -66,6 +70,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), bounds
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. Workers live as long as their executor, and allocators keep what
+    large arrays of earlier batches took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 @dataclass(frozen=True)
 class Part:
     """Some consecutive texts of a batch: their bytes, offsets into them, and the first one's number."""
@@ -87,6 +99,7 @@ def parts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Part]:
         high = min(high, low + SLICE_TEXTS)
         yield Part(low, data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
         low = high
+    give_back()
 
 
 @dataclass(frozen=True)
