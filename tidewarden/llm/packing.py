@@ -22,6 +22,7 @@ clash.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -40,7 +41,8 @@ CAPACITY = 1024
 END_ID = 2
 SLICES = 1 << 16  # of all lengths together, besides one for each length
 ENCODED_AT_ONCE = 2048
-REMEMBERED = 600_000  # cuttings, in each worker process
+SLICE = 1 << 20
+REMEMBERED = 400_000  # cuttings, in each worker process
 SLICE_ROWS = 4096  # a slice is not made smaller than this
 
 _RUN = "length long, first long, n long, sequence long, offset long"
@@ -51,6 +53,7 @@ class Tokens:
     none, so texts are cut there; each distinct cutting is tokenized once and remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             _TOKENS[tokenizer_path] = Tokens(tokenizer_path)
         tokens = _TOKENS[tokenizer_path]
         for batch in batches:
-            for part in arrays.parts(batch.column("text")):
+            for part in arrays.parts(batch.column("text"), SLICE):
                 flat, bounds = tokens.of(part)
                 rows: list[tuple[int, int, int, int, int]] = []
                 held: list[np.ndarray] = []
