@@ -368,3 +368,20 @@ def test_pipeline(spark):
     whole = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
     assert whole == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_passages_of_common_blocks(spark):
+    """Two texts share 80 words made of two blocks of 40 that each stand alone in many others."""
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], set()
+    for trial in range(6):
+        one, two = word(40), word(40)
+        own = [one + two, one + two, *([one] * 40), *([two] * 40)]
+        ids = [trial * 100 + i for i in range(len(own))]
+        rng.shuffle(ids)
+        pairs.add((max(ids[:2]), min(ids[:2])))
+        rows += [(i, " ".join(word(60) + shared + word(60))) for i, shared in zip(ids, own, strict=True)]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == pairs
+    assert all(80 <= r["n_words"] <= 81 for r in got)
