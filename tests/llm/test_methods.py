@@ -385,3 +385,22 @@ def test_passages_of_common_blocks(spark):
     got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_doc_id"]) for r in got} == pairs
     assert all(80 <= r["n_words"] <= 81 for r in got)
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = random.Random(3)
+    shared = [f"c{i}" for i in range(12)]
+    items = [[f"w{rng.randrange(10**9)}" for _ in range(20)] + (shared if i % 3 else shared[:7]) for i in range(24)]
+    docs = []
+    for i, item in enumerate(items):
+        own = list(item)
+        own[rng.randrange(4)] = "changed"
+        docs.append((i, " ".join(["before"] * 8 + own + items[(i + 1) % 24][:9])))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    one, many = (
+        sorted((*r[:4], round(r[4], 9)) for r in decontaminate.links(docs, bench, 0.5, size).collect()) for size in (4096, 2)
+    )
+    assert one == many and len(one) >= 24
+    kept = [{r["doc_id"] for r in decontaminate.clean(docs, bench, 0.7, size).collect()} for size in (4096, 2)]
+    assert kept[0] == kept[1]

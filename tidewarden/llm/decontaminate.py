@@ -11,9 +11,10 @@ differ in up to floor(radius / 5) bits. By the pigeonhole rule a fingerprint wit
 entry in at least one block, so every pair within the radius is found; its distance is then counted, and the
 weighted Jaccard similarity of the two multisets of shingles decides, exactly.
 
-The benchmark is the stated query set: it is read in blocks of at most `BLOCK_ITEMS` items, and each block's
-index is broadcast (its size is fixed by that number) and compared with all documents in one pass without
-a shuffle. Defined cases: null and blank items match nothing; null and blank texts hold nothing; texts are
+The benchmark is the stated query set: it is read in blocks of about `BLOCK_ITEMS` items, and each block's
+index is broadcast and compared with all documents in one pass without a shuffle. N and the items that hold a
+shingle are counted over the whole benchmark once; with more than one block, the numbers of items of all its
+shingles (two sorted arrays) are broadcast with every block, so weights do not depend on blocks. Defined cases: null and blank items match nothing; null and blank texts hold nothing; texts are
 read whole; equal items are all reported; rows with equal or null ids are judged each for itself, links
 carry the ids as they are; empty tables give no links; other columns are carried apart from the working
 columns, so their names cannot clash.
@@ -89,25 +90,48 @@ class Length:
         return window[close], item[close]
 
 
+def _bags(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, int, Counter]]:
+    """Number, words, shingle size and shingles of each text that has words."""
+    for part in arrays.parts(column):
+        codes, bounds = word_codes(part)
+        for i in range(len(part)):
+            own = codes[bounds[i] : bounds[i + 1]]
+            if len(own):
+                k = min(shingle, len(own))
+                yield part.first + i, len(own), k, Counter(arrays.runs(own, np.array([0, len(own)]), k)[0].tolist())
+
+
+class Weights:
+    """Weights of shingles, from the number of items and sorted shingles with the items that hold each."""
+
+    def __init__(self, n: int, shingles: np.ndarray, held: np.ndarray):
+        self.n, self.shingles = n, shingles
+        self.values = np.log1p(n / (1 + held))
+        self.new = float(np.log1p(n))
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.new)
+        place = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[place] == shingles, self.values[place], self.new)
+
+
 class Benchmark:
-    """Items as shingles, weights and one multi-index per number of words."""
+    """Items as shingles, weights and one multi-index per number of words. Without `weights`, which are those
+    of the whole benchmark, the items are all there are."""
 
-    def __init__(self, ids: list, texts: list[str | None], shingle: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, ids: list, texts: list[str | None], shingle: int = SHINGLE, radius: int = RADIUS, weights: Weights | None = None):
         self.ids, self.bags, self.sizes = [], [], []
-        column = pa.array([t or "" for t in texts], pa.string())
-        for part in arrays.parts(column):
-            codes, bounds = word_codes(part)
-            for i in range(len(part)):
-                own = codes[bounds[i] : bounds[i + 1]]
-                if len(own):
-                    k = min(shingle, len(own))
-                    self.ids.append(ids[part.first + i])
-                    self.sizes.append(len(own))
-                    self.bags.append((k, Counter(arrays.runs(own, np.array([0, len(own)]), k)[0].tolist())))
+        for i, size, k, bag in _bags(pa.array([t or "" for t in texts], pa.string()), shingle):
+            self.ids.append(ids[i])
+            self.sizes.append(size)
+            self.bags.append((k, bag))
         held = Counter(s for _, bag in self.bags for s in bag)
         self.n = len(self.bags)
-        self.weights = {s: float(np.log1p(self.n / (1 + times))) for s, times in held.items()}
-        self.new_weight = float(np.log1p(self.n))
+        own = np.array(sorted(held), _U)
+        self.all = weights or Weights(self.n, own, np.array([held[s] for s in own.tolist()], np.int64))
+        self.weights = dict(zip(own.tolist(), self.all.of(own).tolist(), strict=True))
+        self.new_weight = self.all.new
         self.totals = [sum(self.weights[s] * c for s, c in bag.items()) for _, bag in self.bags]
         self.groups: dict[int, tuple[np.ndarray, np.ndarray, list[Length]]] = {}
         for k in sorted({k for k, _ in self.bags}):
@@ -128,7 +152,8 @@ class Benchmark:
 
     def similarity(self, item: int, shingles: list[int]) -> float:
         bag, own = self.bags[item][1], Counter(shingles)
-        total = sum(self.weights.get(s, self.new_weight) * c for s, c in own.items())
+        of_own = self.all.of(np.array(list(own), _U)).tolist()
+        total = sum(w * c for w, c in zip(of_own, own.values(), strict=True))
         both = sum(self.weights[s] * min(c, bag[s]) for s, c in own.items() if s in bag)
         return both / (total + self.totals[item] - both)
 
@@ -153,7 +178,7 @@ class Benchmark:
         longest = max(x.words for x in lengths)
         for low, high in _stretches(hits, longest, len(shingles)):
             own = shingles[low:high]
-            weight = np.array([self.weights.get(s, self.new_weight) for s in own.tolist()])
+            weight = self.all.of(own)
             total = np.concatenate((np.zeros((1, 64)), np.cumsum(_signs(own) * weight[:, None], 0)))
             near = hits[(hits >= low) & (hits < high)] - low
             for length in lengths:
@@ -183,13 +208,32 @@ def _stretches(hits: np.ndarray, longest: int, n: int) -> Iterator[tuple[int, in
             begin = i
 
 
+def _weights(items: DataFrame) -> Weights:
+    """Weights over the whole benchmark."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, bag in _bags(batch.column("text"), SHINGLE):
+                codes = np.array([0, *bag], _U).view(np.int64)
+                item = np.arange(len(codes)) == 0  # a row for the item, and one for each of its shingles
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(item)], ["shingle", "item"])
+
+    rows = small_batches(items.select("text")).mapInArrow(emit, "shingle long, item boolean")
+    counts = rows.groupBy("item", "shingle").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    item = counts["item"].to_numpy(zero_copy_only=False)
+    shingles, n = counts["shingle"].to_numpy()[~item].view(_U), counts["n"].to_numpy()
+    order = np.argsort(shingles)
+    return Weights(int(n[item].sum()), shingles[order], n[~item][order])
+
+
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[Benchmark]:
     """The benchmark's items in blocks of about `size`, in the order of a hash."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     n = -(-items.count() // size)
+    weights = _weights(items) if n > 1 else None
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        found = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
+        found = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], weights=weights)
         if found.n:
             yield found
 
