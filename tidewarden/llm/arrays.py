@@ -2,9 +2,8 @@
 
 A batch's text column is one byte buffer. Words are maximal runs of bytes other than space and 0x09-0x0D,
 lines are the parts between line feeds; both can be found on bytes, because bytes of longer UTF-8
-characters never take those values. Hashes are 64 bits wide: a prefix sum of byte values times the powers
-of an odd number, differenced and divided (by the inverse power) at both ends of a word, so the cost does
-not depend on word lengths. Callers walk a batch in slices of a few megabytes, which bounds the memory.
+characters never take those values. Hashes are 64 bits wide and chained over steps of 8 bytes, all words of
+a slice at once. Callers walk a batch in slices of a few megabytes, which bounds the memory.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 SLICE_BYTES = 1 << 21
 SLICE_TEXTS = 1 << 13
-_BLOCK = 1 << 20
+_BLOCK = 256
 _U = np.uint64
 
 
@@ -45,21 +44,10 @@ def random_words(n: int, seed: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_VALUES = random_words(256, 7)
-_LOWER_VALUES = _VALUES[_LOWER]
 _BASE = 0xD1342543DE82EF95
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(_BLOCK + 1, base, _U)
-            table[0] = 1
-            _POWERS.append(np.multiply.accumulate(table))
-    return _POWERS
+_SEED = 0x5851F42D4C957F2D
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,31 +130,67 @@ def lines(part: Part) -> Spans:
     return Spans(start, end, np.concatenate(([0], np.cumsum(counts))))
 
 
+#: Masks of the first n bytes of a number, n from 0 to 8.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+
+
+def _step(state: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """The next state of a hash; one to one in either argument, and linear in none."""
+    chunk ^= state
+    chunk *= _U(_BASE)
+    chunk ^= chunk >> _U(29)
+    chunk *= _U(_SEED)
+    chunk ^= chunk >> _U(32)
+    return chunk
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on as a number, as a view; behind the end are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hashes(part: Part, spans: Spans, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; with `lower`, A-Z count as a-z."""
-    power, inverse = _powers()
-    values = _LOWER_VALUES if lower else _VALUES
-    out = np.zeros(len(spans.start), _U)
+    """A 64-bit hash of the bytes of each span; with `lower`, A-Z count as a-z. Spans are taken in steps of 8
+    bytes, each mixed into the state before the next one; spans over `_BLOCK` bytes by xxh3."""
+    data = _LOWER[part.data] if lower else part.data
     length = spans.end - spans.start
-    i, n = 0, len(out)
+    words = eight_bytes(data)
     with np.errstate(over="ignore"):
-        while i < n:
-            if length[i] > _BLOCK:  # such a span is hashed by itself
-                raw = part.data[spans.start[i] : spans.end[i]]
-                out[i] = xxhash.xxh64_intdigest((_LOWER.astype(np.uint8)[raw] if lower else raw).tobytes())
-                i += 1
-                continue
-            low = spans.start[i]
-            j = max(i + 1, int(np.searchsorted(spans.end, low + _BLOCK, "right")))
-            data = part.data[low : spans.end[j - 1]]
-            total = np.zeros(len(data) + 1, _U)
-            np.cumsum(values[data] * power[: len(data)], out=total[1:])
-            a, b = spans.start[i:j] - low, spans.end[i:j] - low
-            out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(_U)
-            i = j
+        out = length.astype(_U)
+        out *= _U(_BASE)
+        first = words[spans.start] & _KEEP[np.minimum(length, 8)]
+        out = _step(out, first)
+        left = np.flatnonzero((length > 8) & (length <= _BLOCK))
+        at, size, state = spans.start[left], length[left], out[left]
+        while len(left):
+            at, size = at + 8, size - 8
+            state = _step(state, words[at] & _KEEP[np.minimum(size, 8)])
+            done = size <= 8
+            out[left[done]] = state[done]
+            on = ~done
+            left, at, size, state = left[on], at[on], size[on], state[on]
+    for i in np.flatnonzero(length > _BLOCK):
+        out[i] = xxhash.xxh3_64_intdigest(data[spans.start[i] : spans.end[i]].data, _SEED)
     return mix(out)
 
 
+def same_bytes(part: Part, spans: Spans, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether spans a[i] and b[i] hold the same bytes."""
+    length = spans.end - spans.start
+    same = length[a] == length[b]
+    words = eight_bytes(part.data)
+    left = np.flatnonzero(same)
+    x, y, size = spans.start[a[left]], spans.start[b[left]], length[a[left]]
+    while len(left):
+        equal = (words[x] ^ words[y]) & _KEEP[np.minimum(size, 8)] == 0
+        same[left[~equal]] = False
+        on = equal & (size > 8)
+        left, x, y, size = left[on], x[on] + 8, y[on] + 8, size[on] - 8
+    return same
+
+
 def runs(codes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive codes that lie in one text, and the bounds of each text's hashes."""
     counts = np.maximum(np.diff(bounds) - (k - 1), 0)
