@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_quality, decontaminate, language, line_windows, minhash, packing, passages, piece_counts, sampling, tree_rules
+from . import chat, crf_quality, decontaminate, language, line_windows, manifest, minhash, packing, passages, piece_counts, sampling, tree_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,12 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots ON roots.node = d.doc
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy passages that documents share, and whole copies."""
     return passages.passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, and what is verified where line feeds are lost."""
+    return manifest.without_feeds(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_manifest"] = manifest.SQL
