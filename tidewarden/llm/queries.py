@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_quality, decontaminate, language, line_windows, manifest, minhash, packing, passages, piece_counts, sampling, tree_rules
+from . import chat, crf_quality, decontaminate, filter_audit, language, line_windows, manifest, minhash, packing, passages, piece_counts, sampling, tree_rules, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,21 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_manifest"] = manifest.SQL
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, by language, order and step."""
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = filter_audit.SQL
+
+
+@query
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings."""
+    return vectors.near_links(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_vectors"] = vectors.SQL
