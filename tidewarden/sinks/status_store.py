@@ -3,21 +3,21 @@
 A batch writes only what it changes: its newest status per track and its own trimmed history, as a
 delta. Both rules give the same answer on merged parts as on all rows, so a read merges the last
 base with the deltas after it, and every `compact_every` batches the merge is written as a new
-base. A write counts once its marker is there: a lost executor or a restart in the middle leaves
-the old state in force, and a batch that runs twice does nothing the second time. Batch numbers must grow, as
-those of a streaming query do. Folders of superseded bases and deltas are left to the storage's
-retention rule.
+base. What counts is named by the newest version of the store's log (`versions`), committed by one rename for both
+tables: a lost executor or a restart in the middle leaves the old version in force, a reader sees an old or a new one
+and never a part, and a batch that runs twice does nothing the second time. Batch numbers must grow, as those of a
+streaming query do. Folders that none of the last `keep` versions and no published table names are removed.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 from ..operators import status
+from .versions import Versions
 
 TABLES = ("current", "history")
 
@@ -38,29 +38,16 @@ class StatusStore:
         root: str,
         history_size: int = status.HISTORY_SIZE,
         compact_every: int = 20,
+        keep: int = 3,
     ):
         self.spark, self.root = spark, root.rstrip("/")
-        self.history_size, self.compact_every = history_size, compact_every
-
-    def _marks(self, path: str) -> list[int]:
-        try:
-            rows = self.spark.read.schema("id bigint").json(f"{self.root}/{path}").collect()
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        return [r["id"] for r in rows]
-
-    def _mark(self, path: str, number: int, mode: str) -> None:
-        mark = self.spark.createDataFrame([(number,)], "id bigint").coalesce(1)
-        mark.write.mode(mode).json(f"{self.root}/{path}")
+        self.history_size, self.compact_every, self.keep = history_size, compact_every, keep
+        self.versions = Versions(spark, root)
 
     def _committed(self) -> tuple[int | None, list[int]]:
-        """Number of the last base and of the deltas after it. The base is noted in two slots in
-        turn, so one of them is whole at any time; there are never more marks to read than
-        batches between two bases."""
-        base = max(self._marks("bases/slot=0") + self._marks("bases/slot=1"), default=None)
-        return base, sorted(set(self._marks(f"deltas/after={base}")))
+        """Number of the last base and of the deltas after it."""
+        _, document = self.versions.newest()
+        return document.get("base"), document.get("deltas", [])
 
     def _merge(self, table: str, parts: DataFrame) -> DataFrame:
         if table == "current":
@@ -75,30 +62,66 @@ class StatusStore:
         parts = [self.spark.read.schema(schemas.STATUS_TABLE).parquet(p) for p in paths]
         return self._merge(table, reduce(DataFrame.unionByName, parts))
 
-    def read(self, table: str) -> DataFrame:
-        """The committed `current` or `history` table."""
-        return self._read(table, *self._committed())
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The `current` or `history` table of the newest version, or of one of the last `keep`."""
+        document = self.versions.newest()[1] if version is None else self.versions.read(version)
+        return self._read(table, document.get("base"), document.get("deltas", []))
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """`foreachBatch` body."""
-        base, deltas = self._committed()
-        if batch_id in deltas or (base is not None and batch_id <= base):
+        number, document = self.versions.newest()
+        if batch_id <= document.get("batch", -1):
             return
         columns = self._read("current", None, []).columns
         rows = batch.select(*columns)
         for table in TABLES:
             part = self._merge(table, rows)
             part.write.mode("overwrite").parquet(f"{self.root}/{table}/delta={batch_id}")
-        self._mark(f"deltas/after={base}", batch_id, "append")
-        deltas.append(batch_id)
+        deltas = [*document.get("deltas", []), batch_id]
+        self.versions.commit(number + 1, {**document, "batch": batch_id, "deltas": deltas})
         if len(deltas) >= self.compact_every:
-            for table in TABLES:
-                merged = self._read(table, base, deltas)
-                merged.write.mode("overwrite").parquet(f"{self.root}/{table}/base={batch_id}")
-            other = 1 if self._marks("bases/slot=0") == [base] else 0
-            self._mark(f"bases/slot={other}", batch_id, "overwrite")
+            self.compact()
+        self._clean()
+
+    def compact(self) -> int | None:
+        """Write the merge of all deltas as a new base, and return its number."""
+        number, document = self.versions.newest()
+        deltas = document.get("deltas", [])
+        if not deltas:
+            return document.get("base")
+        base = document["batch"]
+        for table in TABLES:
+            merged = self._read(table, document.get("base"), deltas)
+            merged.write.mode("overwrite").parquet(f"{self.root}/{table}/base={base}")
+        self.versions.commit(number + 1, {**document, "base": base, "deltas": []})
+        return base
+
+    def _clean(self) -> None:
+        """Remove what no version to keep and no published table names."""
+        numbers = self.versions.numbers()[-self.keep :]
+        used = {f"delta={self.versions.newest()[1].get('batch')}"}
+        for number in numbers:
+            document = self.versions.read(number)
+            used |= {f"base={b}" for b in (document.get("base"), *document.get("published", []))}
+            used |= {f"delta={d}" for d in document.get("deltas", [])}
+        for table in TABLES:
+            for name in self.versions.names(table):
+                if name not in used:
+                    self.versions.remove(table, name)
+        self.versions.forget(numbers[0] if numbers else 0)
 
     def publish(self, database: str) -> None:
-        """Write the committed state into the catalog tables of `create_status_tables`, each as a whole."""
+        """Let the catalog tables of `create_status_tables` show the newest version: a base is written if there are
+        deltas, and then each table's location is changed to it. Readers see the old base or the new one; the one
+        published before is kept for queries that still read it."""
+        base = self.compact()
+        if base is None:
+            return
+        number, document = self.versions.newest()
+        published = [b for b in document.get("published", []) if b != base][-1:] + [base]
+        self.versions.commit(number + 1, {**document, "published": published})
         for table in TABLES:
-            self.read(table).write.mode("overwrite").insertInto(f"{database}.status_{table}")
+            name = f"{database}.status_{table}"
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{self.root}/{table}/base={base}'")
+            self.spark.catalog.refreshTable(name)
+        self._clean()
