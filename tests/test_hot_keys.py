@@ -165,6 +165,89 @@ def test_greedy_throttle(spark, mode, strict, dense, gap):
     assert {r["id"] for r in got.collect()} == want
 
 
+def test_a_gap_over_a_hundred_segments(spark, monkeypatch):
+    """No row and no group grows with the gap: entries and jumps are narrow rows, groups are segments."""
+    spark.conf.set("spark.tidewarden.rowsPerSegment", "6")
+    rng = random.Random(11)
+    rows = [("hot", BASE + rng.randrange(3_000_000) * SECOND // 10, i, False) for i in range(1800)]
+    rows += [("k", BASE + i * SECOND, 5000 + i, False) for i in range(5)]
+    sizes, entries = [], throttle._segment_entries
+
+    def watched(strict):
+        inner = entries(strict)
+
+        def run(pdf):
+            out = inner(pdf)
+            return out.assign(_exit=out["_exit"]) if len(pdf) <= 60 else 1 / 0  # a group is a segment
+
+        return run
+
+    doubled = throttle._orbits
+
+    def counted(points, jumps):
+        sizes.append(max(len(r.asDict()) for r in jumps.limit(1).collect()))
+        assert {t for _, t in jumps.dtypes} == {"bigint"}  # no arrays
+        return doubled(points, jumps)
+
+    monkeypatch.setattr(throttle, "_segment_entries", watched)
+    monkeypatch.setattr(throttle, "_orbits", counted)
+    try:
+        cuts = find_cuts(_frame(spark, rows), ["key"], ["ts", "id"])
+        assert cuts.segments > 200
+        for gap, strict in ((150_000, True), (20_000, False)):  # over half and over a fifteenth of all segments
+            got = throttle.greedy_throttle(_frame(spark, rows), ["key"], ["ts", "id"], F.lit(gap * SECOND), strict, cuts=cuts)
+            want = set()
+            for group in _by_key(rows).values():
+                last = None
+                for _, t, i, _ in group:
+                    if last is None or (t > last + gap * SECOND if strict else t >= last + gap * SECOND):
+                        want.add(i)
+                        last = t
+            assert {r["id"] for r in got.collect()} == want
+        assert sizes == [3] * 2
+    finally:
+        spark.conf.unset("spark.tidewarden.rowsPerSegment")
+
+
+def test_starts_in_the_middle_of_a_hot_key(spark, mode):
+    rows, gap = _rows(6), 500 * SECOND
+    for start, strict in ((BASE + 2500 * SECOND, True), (BASE + 5400 * SECOND, False)):
+        got = throttle.greedy_throttle(_frame(spark, rows), ["key"], ["ts", "id"], F.lit(gap), strict, F.lit(start))
+        want = set()
+        for group in _by_key(rows).values():
+            last = start
+            for _, t, i, _ in group:
+                if t > last + gap if strict else t >= last + gap:
+                    want.add(i)
+                    last = t
+        assert {r["id"] for r in got.collect()} == want
+
+
+def test_recent_values(spark, mode):
+    rows = _rows(12)
+    for n in (4, 30):
+        out = OrderedRows(_frame(spark, rows), ["key"], ["ts", "id"])
+        out = out.recent(n, ids="id", odd=F.when(F.col("id") % 2 == 1, F.col("id"))).df
+        want = {}
+        for group in _by_key(rows).values():
+            ids = [r[2] for r in group]
+            for j, i in enumerate(ids):
+                own = ids[max(0, j - n + 1) : j + 1]
+                want[i] = (own, [x if x % 2 else None for x in own])
+        assert {r["id"]: (r["ids"], r["odd"]) for r in out.withColumnRenamed("id", "id").select(F.element_at("ids", -1).alias("id"), "ids", "odd").collect()} == want
+
+
+def test_history_of_five_hundred_codes_is_one_window(spark, mode):
+    rows = [("hot", BASE + i * SECOND, i, 200 + i % 7) for i in range(700)]
+    data = [(k, _stamp(t), i, c, 500, 3) for k, t, i, c in rows]
+    df = spark.createDataFrame(data, "key string, ts timestamp, id bigint, status_code int, fail_count int, resolve_count int")
+    out = checks.history_text(df, ["key"], ["ts", "id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4
+    got = {r["id"]: r["history"] for r in out.select("id", "history").collect()}
+    assert all(got[i] == ", ".join(str(200 + j % 7) for j in range(max(0, i - 499), i + 1)) for i in range(700))
+
+
 def test_greedy_throttle_with_start(spark, mode):
     rows, period = _rows(5), 700 * SECOND
     start = BASE - 100 * SECOND

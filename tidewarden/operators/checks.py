@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from pyspark.sql.window import Window
 
 from ..functions.text import mask_user_info, trim_body
 from ..functions.times import shift
 from .ordered import OrderedRows
-from .segments import Cuts
+from .segments import Cuts, materialize
 
 FAIL_COUNT = 3
 RESOLVE_COUNT = 2
@@ -75,6 +76,10 @@ def apply_predicate(results: DataFrame, ok: Column, data: Column) -> DataFrame:
     return results.withColumns({"ok": fetched & ok, "data": F.when(fetched, data)})
 
 
+class AnalysisError(ValueError):
+    """The arguments of a check's table function do not fit."""
+
+
 CheckFunction = Callable[[str], Iterable[tuple[str, bool, dict]]]
 
 
@@ -83,6 +88,46 @@ def default_check(payload: str) -> list[tuple[str, bool, dict]]:
     return [("default", True, {})]
 
 
+def _results(function: CheckFunction, base: str, payload: str) -> list[tuple[str, bool, dict]]:
+    try:
+        found = list(function(payload))
+    except Exception as problem:  # the check is user code; its failure is a result
+        return [(base, False, {"error": str(problem)})]
+    own = [(n, bool(ok), {k: str(v) for k, v in data.items()}) for n, ok, data in found]
+    return [(base, True, {}), *own]
+
+
+def check_table_function(function: CheckFunction = default_check):
+    """A user's check as a polymorphic table function, to be registered with `spark.udtf.register` and used in SQL as
+    `SELECT * FROM name(TABLE(inputs))` or, per row, `FROM inputs, LATERAL name(base, payload)`. Of a table it gives every
+    column but payload and adds name, ok and data, as `run_checks` does; of two texts only the latter. A row on which
+    the check raises gives one bad row, and leaves the others alone."""
+
+    class Check:
+        @staticmethod
+        def analyze(*arguments: AnalyzeArgument) -> AnalyzeResult:
+            own = T.StructType.fromDDL("name string, ok boolean, data map<string,string>").fields
+            if len(arguments) == 1 and arguments[0].isTable:
+                given = arguments[0].dataType
+                if not {"base", "payload"} <= set(given.names):
+                    raise AnalysisError("the table needs the columns base and payload")
+                return AnalyzeResult(T.StructType([f for f in given.fields if f.name != "payload"] + own))
+            if len(arguments) != 2 or any(a.isTable for a in arguments):
+                raise AnalysisError("give a table, or base and payload")
+            return AnalyzeResult(T.StructType(own))
+
+        def eval(self, *arguments) -> Iterator[tuple]:
+            if len(arguments) == 2:
+                yield from _results(function, *arguments)
+                return
+            row = arguments[0]
+            kept = [row[c] for c in row.__fields__ if c != "payload"]
+            for found in _results(function, row["base"], row["payload"]):
+                yield (*kept, *found)
+
+    return F.udtf(Check)
+
+
 def run_checks(inputs: DataFrame, function: CheckFunction = default_check) -> DataFrame:
     """A user's check as a table function: every input row (base, payload and more) gives a good
     base row and the check's own rows, or one bad base row with the error when the check raises.
@@ -93,19 +138,11 @@ def run_checks(inputs: DataFrame, function: CheckFunction = default_check) -> Da
         + T.StructType.fromDDL("name string, ok boolean, data map<string,string>").fields
     )
 
-    def results(base: str, payload: str):
-        try:
-            found = list(function(payload))
-        except Exception as problem:  # the check is user code; its failure is a result
-            return [(base, False, {"error": str(problem)})]
-        own = [(n, bool(ok), {k: str(v) for k, v in data.items()}) for n, ok, data in found]
-        return [(base, True, {}), *own]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             base, payload = (batch.column(names.index(c)).to_pylist() for c in ("base", "payload"))
-            found = [results(b, p) for b, p in zip(base, payload)]
+            found = [_results(function, b, p) for b, p in zip(base, payload)]
             repeat = [i for i, rows in enumerate(found) for _ in rows]
             flat = [row for rows in found for row in rows]
             table = batch.select(kept).take(pa.array(repeat, pa.int64()))
@@ -121,6 +158,12 @@ def run_checks(inputs: DataFrame, function: CheckFunction = default_check) -> Da
     return inputs.mapInArrow(run, schema)
 
 
+def checked(inputs: DataFrame, function: CheckFunction = default_check) -> DataFrame:
+    """The rows of `run_checks`, kept in a checkpoint: later steps look at them several times (to find hot keys, to
+    order them), and a check, which may have effects of its own, runs once for each input."""
+    return materialize(run_checks(inputs, function))
+
+
 def streaks(
     results: DataFrame, keys: list[str], order: list[str], cuts: Cuts | None = None
 ) -> DataFrame:
@@ -154,12 +197,9 @@ def history_text(
     as long as the largest such number in the table."""
     columns = results.columns
     longest = results.agg(F.max(F.greatest("fail_count", "resolve_count"))).first()[0] or 1
-    rows = OrderedRows(results.withColumn("_p0", code_text()), keys, order, cuts)
-    for i in range(1, longest):
-        rows = rows.previous(**{f"_p{i}": F.col(f"_p{i - 1}")})
-    size = F.greatest("fail_count", "resolve_count")
-    recent = F.array(*[F.col(f"_p{i}") for i in range(longest)])
-    kept = F.reverse(F.array_compact(F.slice(recent, F.lit(1), size)))
+    rows = OrderedRows(results, keys, order, cuts).recent(int(longest), _codes=code_text())
+    size = F.least(F.greatest("fail_count", "resolve_count"), F.size("_codes"))
+    kept = F.slice("_codes", F.size("_codes") - size + 1, size)
     return rows.df.select(*columns, F.array_join(kept, ", ").alias("history"))
 
 

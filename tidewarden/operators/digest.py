@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.times import period_millis
 from .ordered import OrderedRows
-from .segments import Cuts, find_cuts, position
+from .segments import Cuts, find_cuts, materialize, position
 
 SEPARATOR = "\n\n---\n\n"
 
@@ -157,7 +157,8 @@ def mail_digest(
     assigned = rows.df.filter(F.col("kind") == 1).select(
         "subject", "at", "arrival", "body", "_span.digest", "_span.to_us", "_span.flushed"
     )
-    return digest_parts(assigned, ["subject", "digest", "to_us", "flushed"], ["at", "arrival"], cutoff)
+    # head, tail and number are three looks at the same rows
+    return digest_parts(materialize(assigned), ["subject", "digest", "to_us", "flushed"], ["at", "arrival"], cutoff)
 
 
 def digest_parts(mails: DataFrame, keys: list[str], order: list[str], cutoff: int) -> DataFrame:

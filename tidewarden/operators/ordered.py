@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .segments import HOT, SEG, Cuts, broadcast_under, find_cuts
+from .segments import HOT, SEG, Cuts, broadcast_under, find_cuts, materialize
 
 
 def _column(value: Column | str) -> Column:
@@ -153,6 +153,31 @@ class OrderedRows:
         }
         return self._with(df.select(*kept, *[c.alias(n) for n, c in total.items()]))
 
+    def recent(self, n: int, **exprs: Column | str) -> "OrderedRows":
+        """Arrays of the last n values up to this row, the oldest first, nulls included. One window whatever n is;
+        between segments only the last n - 1 values of a segment are passed on."""
+        kept = [c for c in self._df.columns if c not in exprs]
+        value = F.struct(*[_column(e).alias(name) for name, e in exprs.items()])
+        held = F.collect_list(value).over(self._window.rowsBetween(1 - n, 0))
+        df = self._df.select("*", held.alias("_held"))
+        values = F.col("_held")
+        if self.split and n > 1:
+            df = self._join_carry(df, self._tails(value, n - 1), ["_tail"])
+            both = F.when(F.col("_tail").isNull(), F.col("_held")).otherwise(F.concat("_tail", "_held"))
+            values = F.slice(both, F.greatest(F.size(both) - n, F.lit(0)) + 1, F.lit(n))
+        return self._with(df.select(*kept, *[values[name].alias(name) for name in exprs]))
+
+    def _tails(self, value: Column, n: int) -> DataFrame:
+        """For each hot segment the last n values before it, from as many segments as they may lie in."""
+        back = Window.partitionBy(*self.keys, SEG).orderBy(*[F.col(c).desc() for c in self.order])
+        last = self._df.filter(HOT).select(*self.keys, SEG, self._order_struct.alias("_o"), value.alias("_v"), F.row_number().over(back).alias("_n"))
+        own = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"])
+        ends = materialize(last.filter(F.col("_n") <= n).groupBy(*self.keys, SEG).agg(own.alias("_own"), F.count(F.lit(1)).alias("_rows")))
+        least = ends.agg(F.min("_rows")).first()[0] or 1
+        before = Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(-(-(-n // least)), -1)
+        tail = F.flatten(F.collect_list("_own").over(before))
+        return ends.select(*self.keys, SEG, F.slice(tail, F.greatest(F.size(tail) - n, F.lit(0)) + 1, F.lit(n)).alias("_tail"))
+
     def runs(self, **states: Column | str) -> "OrderedRows":
         """For each state its current run of equal consecutive values: `<name>_start`, the first
         order value of the run, and `<name>_length`, the rows of the run up to this one."""

@@ -9,16 +9,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .ordered import OrderedRows, _column
 from .segments import (
-    HOT, SEG, Cuts, find_cuts, materialize, position, same_keys,
+    HOT, SEG, Cuts, broadcast_under, find_cuts, materialize, position, same_keys,
 )
 
 _HELPERS = ("_first", "_pos", "_gap", "_from")
-_FAN = 8
 
 
 def _fire(pos: np.ndarray, gap: int, last: int | None, strict: bool) -> tuple[list[int], int | None]:
@@ -62,17 +60,17 @@ def _fired_rows(strict: bool):
     return run
 
 
-def _segment_steps(strict: bool, keys: list[str]):
-    """One hot segment as a step function: last fired instant before it -> last fired within it."""
+def _segment_entries(strict: bool):
+    """One hot segment: the instants at which a chain of fired rows may enter it, and for each the last instant of
+    that chain within the segment."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pos = np.sort(pdf["_pos"].to_numpy())
         gap, side = int(pdf["_gap"].iloc[0]), "right" if strict else "left"
-        # the carried instant lies before the segment, so the first row to fire is among the
-        # rows of one gap; every such row is one entry point
+        # what fired last lies before the segment, so the first row to fire is among the rows of one gap
         reach = int(np.searchsorted(pos, pos[0] + gap, side)) + 1
-        entries = np.arange(min(reach, len(pos)))
-        chain = pos[entries].copy()
+        entries = pos[: min(reach, len(pos))]
+        chain = entries.copy()
         live = np.ones(len(chain), dtype=bool)
         while live.any():
             values, back = np.unique(chain[live], return_inverse=True)
@@ -84,70 +82,44 @@ def _segment_steps(strict: bool, keys: list[str]):
             where = np.flatnonzero(live)
             chain[where] = values[back]
             live[where[ended[back]]] = False
-        # entry i is taken when the carried instant plus gap is below pos[i] (or equal, if not
-        # strict) but not below the entry before it
-        limit = pos[entries] - gap
-        merged = np.flatnonzero(np.append(chain[1:] != chain[:-1], True))
-        return _step_row(
-            pdf, keys, int(pdf[SEG].iloc[0]), limit[merged], chain[merged], int(chain[0])
-        )
+        first = pdf.iloc[0]
+        return pd.DataFrame({"_id": first["_id"], SEG: first[SEG], "_pos": entries, "_gap": gap, "_exit": chain})
 
     return run
 
 
-def _step_row(pdf, keys, at, limit, exits, lead) -> pd.DataFrame:
-    out = {k: [pdf[k].iloc[0]] for k in keys}
-    out.update(_at=[at], _limit=[limit.tolist()], _exit=[exits.tolist()], _lead=[lead])
-    return pd.DataFrame(out)
-
-
-def _after(limit: np.ndarray, exits: np.ndarray, last: np.ndarray, strict: bool) -> np.ndarray:
-    """Apply a step function: instants no row fires after stay as they are."""
-    i = np.searchsorted(limit, last, "right" if strict else "left")
-    return np.where(i < len(limit), exits[np.minimum(i, len(limit) - 1)], last)
-
-
-def _compose_segments(strict: bool, keys: list[str]):
-    """Consecutive step functions of a key as one; it has few steps, as chains run together."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        limit, exits, lead = None, None, None
-        for l, e, first in zip(pdf["_limit"], pdf["_exit"], pdf["_lead"]):
-            l, e = np.asarray(l), np.asarray(e)
-            if limit is None:
-                limit, exits, lead = l, e, int(first)
-                continue
-            lead = int(_after(l, e, np.asarray([lead]), strict)[0])
-            later = l > limit[-1]
-            limit = np.concatenate([limit, l[later]])
-            exits = np.concatenate([_after(l, e, exits, strict), e[later]])
-            kept = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
-            limit, exits = limit[kept], exits[kept]
-        return _step_row(pdf, keys, int(pdf["_at"].iloc[0]) // _FAN, limit, exits, lead)
-
-    return run
-
-
-def _walk_segments(strict: bool, keys: list[str]):
-    """Consecutive step functions from a known instant: the instant carried into each of them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        last = int(pdf["_from"].iloc[0]) if pd.notna(pdf["_from"].iloc[0]) else None
-        carried = []
-        for limit, exits, lead in zip(pdf["_limit"], pdf["_exit"], pdf["_lead"]):
-            carried.append(last)
-            if last is None:
-                last = int(lead)
-            else:
-                at = np.asarray([last])
-                last = int(_after(np.asarray(limit), np.asarray(exits), at, strict)[0])
-        out = pdf[[*keys, "_at"]].copy()
-        out["_from"] = pd.array(carried, dtype="Int64")
-        return out
-
-    return run
+def _successors(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each of `asked` (_id, _after) the smallest _pos of `points` (_id, _pos) that is larger, as _next; those
+    without one are left out. Points and questions are dealt out together by ranges, in falling order, and every question
+    takes the last point before it: from its own range or, by a table of one row per range, from an earlier one."""
+    back = -F.col("_pos")
+    rows = points.select("_id", back.alias("_back"), F.lit(False).alias("_asks"), F.lit(None).cast("long").alias("_after"))
+    questions = asked.select("_id", (-F.col("_after")).alias("_back"), F.lit(True).alias("_asks"), "_after")
+    order = ["_id", "_back", F.desc("_asks")]  # a question comes before the point it names, so it finds larger ones
+    both = rows.unionByName(questions).repartitionByRange(*order)
+    both = materialize(both.withColumn("_range", F.spark_partition_id()))
+    point = F.when(~F.col("_asks"), F.struct("_id", "_back"))
+    ends = both.groupBy("_range").agg(F.max(point).alias("_end"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ends = ends.select("_range", F.max("_end").over(earlier).alias("_before"))
+    so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last(point, True).over(so_far)).filter("_asks").join(F.broadcast(ends), "_range")
+    found = found.withColumn("_found", F.coalesce("_own", "_before")).filter("_found._id = _id")
+    return found.select("_id", "_after", (-F.col("_found._back")).alias("_next"))
+
+
+def _orbits(points: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The points that are reached from the first one of each _id by jumps (_id, _pos, _next). Every round doubles the
+    length of all jumps and the number of points reached, so a chain of n takes log n rounds."""
+    reached = materialize(points.groupBy("_id").agg(F.min("_pos").alias("_pos")))
+    jumps = materialize(jumps)
+    while True:
+        ahead = materialize(reached.join(jumps, ["_id", "_pos"]).select("_id", F.col("_next").alias("_pos")))
+        if ahead.isEmpty():
+            return reached
+        reached = reached.unionByName(ahead)  # of checkpoints, one for each round
+        onward = jumps.select("_id", F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jumps = materialize(jumps.join(onward, ["_id", "_next"]).select("_id", "_pos", F.col("_far").alias("_next")))
 
 
 def greedy_throttle(
@@ -163,10 +135,11 @@ def greedy_throttle(
     the last fired one (`strict=False`: at least `gap` after). `start` presets the last fired
     instant. `gap` and `start` must be constant within a key. Returns the fired rows only.
 
-    One shuffle on the key and one streaming pass in Arrow batches. A hot key is cut into
-    segments; each is summarised as a step function over its distinct instants, the functions are
-    composed in groups of eight up a tree and walked back down, and then all segments are resolved
-    in parallel.
+    One shuffle on the key and one streaming pass in Arrow batches. A hot key is cut into segments. Within
+    a segment, each instant at which a chain of fired rows may enter is led to the chain's last instant
+    there; a merge of ranges finds the instant at which that chain enters a later segment; doubling those
+    jumps gives the segments that are really entered, and where; and then all segments are resolved in
+    parallel. All of it is narrow rows: no row or group is larger than a segment, however long the gap is.
     """
     cuts = cuts or find_cuts(df, keys, order)
     start = F.lit(None).cast("long") if start is None else start
@@ -176,7 +149,7 @@ def greedy_throttle(
     if not cuts.split:
         return fired
     return fired.unionByName(
-        _fire_hot(base.filter(HOT), df, keys, order, gap, start, strict, columns, cuts.segments)
+        _fire_hot(base.filter(HOT), df, keys, order, gap, start, strict, columns)
     )
 
 
@@ -192,82 +165,45 @@ def _fire_cold(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
     return marked.mapInArrow(_fired_rows(strict), rows.select(*columns).schema)
 
 
-def _fire_hot(rows, df, keys, order, gap, start, strict, columns, segments) -> DataFrame:
+def _fire_hot(rows, df, keys, order, gap, start, strict, columns) -> DataFrame:
     pos = position(df, order[0])
-    instants = (
-        rows.select(
-            *keys, SEG, pos.alias("_pos"), gap.cast("long").alias("_gap"), start.alias("_start")
-        )
-        .groupBy(*keys, SEG, "_pos")
-        .agg(F.first("_gap").alias("_gap"), F.first("_start").alias("_start"))
-    )
-    key_fields = [df.schema[k] for k in keys]
-    longs = T.ArrayType(T.LongType())
-    step_schema = T.StructType(
-        key_fields
-        + [
-            T.StructField("_at", T.IntegerType()),
-            T.StructField("_limit", longs),
-            T.StructField("_exit", longs),
-            T.StructField("_lead", T.LongType()),
-        ]
-    )
-    walk_schema = T.StructType(
-        key_fields
-        + [T.StructField("_at", T.IntegerType()), T.StructField("_from", T.LongType())]
-    )
-    steps = instants.groupBy(*keys, SEG).applyInPandas(_segment_steps(strict, keys), step_schema)
-    levels, span = [materialize(steps)], segments
-    while span > _FAN:
-        above = levels[-1].groupBy(*keys, F.floor(F.col("_at") / _FAN)).applyInPandas(
-            _compose_segments(strict, keys), step_schema
-        )
-        levels.append(materialize(above))
-        span = -(-span // _FAN)
-
-    def renamed(frame: DataFrame, *rest: str) -> DataFrame:
-        return frame.select(*[F.col(k).alias("_k_" + k) for k in keys], *rest)
-
-    known = renamed(
-        instants.groupBy(*keys).agg(F.first("_start").alias("_from")), F.lit(0).alias("_up"), "_from"
-    )
-    walk = _walk_segments(strict, keys)
-    for level in reversed(levels):
-        up = F.floor(F.col("_at") / _FAN).cast("int") if level is not levels[-1] else F.lit(0)
-        placed = level.withColumn("_group", up)
-        same = same_keys(placed, known, keys, "_k_") & (F.col("_group") == F.col("_up"))
-        carried = (
-            placed.join(known, same, "inner")
-            .drop(*["_k_" + k for k in keys], "_up")
-            .groupBy(*keys, "_group")
-            .applyInPandas(walk, walk_schema)
-        )
-        known = renamed(carried, F.col("_at").alias("_up"), "_from")
-    on = keys + [SEG]
-    carried = materialize(carried).select(
-        *[F.col(k).alias("_k_" + k) for k in keys], F.col("_at").alias("_k_" + SEG), "_from"
-    )
-    by_seg = Window.partitionBy(*on).orderBy("_pos")
+    placed = rows.select(*keys, SEG, pos.alias("_pos"), gap.cast("long").alias("_gap"), start.alias("_start"))
+    clear = F.col("_start") + F.col("_gap") - F.lit(0 if strict else 1)
+    placed = placed.filter(F.col("_start").isNull() | (F.col("_pos") > clear))  # the others cannot fire
+    placed = materialize(placed.groupBy(*keys, SEG, "_pos").agg(F.first("_gap").alias("_gap")))
+    ids = materialize(placed.select(*[F.col(k).alias("_k_" + k) for k in keys]).distinct())
+    ids = broadcast_under(ids.withColumn("_id", F.monotonically_increasing_id()))
+    instants = placed.join(ids, same_keys(placed, ids, keys, "_k_")).select("_id", SEG, "_pos", "_gap")
+
+    entry_schema = f"_id long, {SEG} int, _pos long, _gap long, _exit long"
+    entries = instants.groupBy("_id", SEG).applyInPandas(_segment_entries(strict), entry_schema)
+    # an instant that is cut into several segments is entered in the first of them
+    first = F.min(F.struct(SEG, "_gap", "_exit")).alias("_first")
+    points = materialize(entries.groupBy("_id", "_pos").agg(first).select("_id", "_pos", "_first.*"))
+    after = F.col("_exit") + F.col("_gap")
+    after = after if strict else F.greatest(after - 1, F.col("_exit"))
+    points = points.withColumn("_after", after)
+    found = _successors(points, points.select("_id", "_after").distinct())
+    jumps = points.select("_id", "_pos", "_after").join(found, ["_id", "_after"]).select("_id", "_pos", "_next")
+    entered = _orbits(points, jumps).join(points, ["_id", "_pos"]).select("_id", SEG, F.col("_pos").alias("_entry"))
+
+    by_seg = Window.partitionBy("_id", SEG).orderBy("_pos")
     marked = (
-        instants.join(carried, same_keys(instants, carried, on, "_k_"), "left")
+        instants.join(entered, ["_id", SEG])
+        .filter("_pos >= _entry")
         .select(
-            *keys,
-            SEG,
+            "_id",
             "_pos",
             "_gap",
-            "_from",
+            F.lit(None).cast("long").alias("_from"),
             (F.row_number().over(by_seg) == 1).alias("_first"),
             F.col("_pos").alias("_at"),
+            SEG,
         )
-        .sortWithinPartitions(*on, "_pos")
+        .sortWithinPartitions("_id", SEG, "_pos")
     )
-    fired = marked.mapInArrow(
-        _fired_rows(strict),
-        T.StructType(
-            key_fields
-            + [T.StructField(SEG, T.IntegerType()), T.StructField("_at", T.LongType())]
-        ),
-    ).select(*[F.col(k).alias("_k_" + k) for k in keys], "_at")
+    fired = marked.mapInArrow(_fired_rows(strict), f"_id long, _at long, {SEG} int")
+    fired = fired.select("_id", "_at").join(ids, "_id").drop("_id")
     at_fired = rows.withColumn("_pos", pos).join(
         fired,
         same_keys(rows, fired, keys, "_k_") & (F.col("_pos") == F.col("_at")),

@@ -440,7 +440,7 @@ def udtf_checks(spark, sf):
         F.lit(3).alias("fail_count"),
         F.lit(2).alias("resolve_count"),
     )
-    rows = ck.run_checks(inputs, _scripted)
+    rows = ck.checked(inputs, _scripted)
     out = ck.streaks(rows, ["group", "name"], ["ts", "run_id"])
     return out.select(F.col("run_id").alias("event_id"), "name", "ok", "verdict")
 
