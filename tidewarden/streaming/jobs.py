@@ -18,7 +18,8 @@ from ..sinks import outbox
 from ..sinks.outbox import write_batch
 from ..sinks.status_store import StatusStore
 from ..sources import feeds
-from .processors import mail_digests, silence_watchdog
+from .keyed import TIME_TO_LIVE_MS, Counters, LoadGrace, Partitions, Sightings, Streaks, keyed, watchdog
+from .processors import mail_digests
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -116,9 +117,51 @@ def digest_stream(
 
 def watchdog_stream(source: DataFrame, configuration: DataFrame, period_ms: int) -> DataFrame:
     """Actions for silent agents from a stream of heartbeat messages and a stream of configuration rows
-    (agent, kind)."""
+    (agent, kind, and epoch and seq where there are any; see `keyed.configuration_epoch`)."""
     beats = events.good(feeds.decode(source, "heartbeats")).select("agent", F.lit("heartbeat").alias("kind"))
-    return silence_watchdog(beats.unionByName(configuration.select("agent", "kind")), period_ms)
+    known = [c for c in ("agent", "kind", "epoch", "seq") if c in configuration.columns]
+    return watchdog(beats.unionByName(configuration.select(*known), allowMissingColumns=True), period_ms)
+
+
+def verdict_stream(results: DataFrame, time_to_live_ms: int | None = TIME_TO_LIVE_MS) -> DataFrame:
+    """Verdicts of a stream of probe results: group, name, at, id, ok, fail_count, resolve_count."""
+    return keyed(results, Streaks(["group", "name"], ["at", "id"], ["at", "id", "ok"], time_to_live_ms))
+
+
+def verdict_job(root: str) -> Handler:
+    """Verdicts of `verdict_stream`: all of them, and the incidents that open or end with them."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{root}/verdicts", batch_id)
+        action = F.when(F.col("verdict") == "failed", "trigger").when(F.col("verdict") == "resolved", "resolve")
+        key = F.concat_ws("/", "group", "name").alias("incident_key")
+        pages = batch.select(key, action.alias("action"), "at", "id").filter("action IS NOT NULL")
+        write_batch(pages, f"{root}/incidents", batch_id)
+
+    return handle
+
+
+def topology_stream(changes: DataFrame, time_to_live_ms: int | None = TIME_TO_LIVE_MS) -> DataFrame:
+    """Since when partitions are offline or under-replicated, on every change: topic, partition, kind, ids, at, seq."""
+    return keyed(changes, Partitions(["topic"], ["at", "seq"], ["at", "seq"], time_to_live_ms))
+
+
+def counter_stream(readings: DataFrame, keys: list[str], time_to_live_ms: int | None = TIME_TO_LIVE_MS) -> DataFrame:
+    """Rises of counters: keys, broker, reading, at, id."""
+    return keyed(readings, Counters(keys, ["at", "id"], ["at", "id"], time_to_live_ms))
+
+
+def load_stream(loads: DataFrame, keys: list[str], grace_us: int, time_to_live_ms: int | None = TIME_TO_LIVE_MS) -> DataFrame:
+    """Loads that have been above zero for longer than the grace: keys, load, at, id."""
+    return keyed(loads, LoadGrace(grace_us, keys, ["at", "id"], ["at", "id"], time_to_live_ms))
+
+
+def stranger_stream(source: DataFrame, expected: DataFrame, gap_ms: int = silence.UNEXPECTED_GAP_MS) -> DataFrame:
+    """Heartbeats of agents that are not expected, when they were not seen for the gap. A stranger is forgotten when it
+    has not been seen for a hundred gaps, so the state does not grow with all strangers there ever were."""
+    good = events.good(feeds.decode(source, "heartbeats"))
+    strangers = good.join(expected, "agent", "left_anti").select("agent", F.unix_micros("ts").alias("at"), "service", "host")
+    return keyed(strangers, Sightings(gap_ms * 1000, ["agent"], ["at", "service", "host"], ["at", "service", "host"], 100 * gap_ms))
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -131,8 +174,8 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 
 
 def _strangers(good: DataFrame, config: DataFrame, root: str, batch_id: int) -> None:
-    """Pages for unexpected agents that were not seen for the gap, in this batch or before. The last
-    sighting of each is kept from batch to batch."""
+    """Pages for unexpected agents that were not seen for the gap, in this batch or before. The last sighting of
+    each is kept from batch to batch, until it is older than the newest of all by more than a hundred gaps."""
     seen = good.join(config, "agent", "left_anti").select("agent", "ts", "service", "host").withColumn("old", F.lit(False))
     before = _earlier(good.sparkSession, f"{root}/strangers", batch_id)
     if before is not None:
@@ -142,7 +185,11 @@ def _strangers(good: DataFrame, config: DataFrame, root: str, batch_id: int) ->
     columns = ["agent", "ts", "service", "host"]
     write_batch(pages.unexpected_agent(found.select(*columns)), f"{root}/unexpected", batch_id)
     last = seen.groupBy("agent").agg(F.max_by(F.struct("ts", "service", "host"), F.struct("ts", "service", "host")).alias("l"))
-    write_batch(last.select("agent", "l.*"), f"{root}/strangers", batch_id)
+    last = last.select("agent", "l.*")
+    newest = last.agg(F.max("ts").alias("t")).first()["t"]
+    if newest is not None:
+        last = last.filter(F.col("ts") > F.lit(newest) - F.expr(f"INTERVAL {100 * silence.UNEXPECTED_GAP_MS} MILLISECONDS"))
+    write_batch(last, f"{root}/strangers", batch_id)
 
 
 def heartbeat_job(root: str, expected: Callable[[], DataFrame]) -> Handler:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.configs import new_keys
+from .keyed import watchdog
 from .rules import Rule
 
 STATE = "state string"
@@ -63,58 +64,6 @@ def apply_rule(
     )
 
 
-class SilenceWatchdog(StatefulProcessor):
-    """Pages when an expected agent is silent for longer than a period, resolves when it is back.
-
-    Rows: agent, kind: `config` when the agent is in the configuration, `removed` when it is no longer,
-    else `heartbeat`. A configuration that names a known agent again changes nothing; a removed agent is
-    forgotten with its timer, and is not paged. Heartbeats of agents that are not expected are left to the
-    unexpected-agent check."""
-
-    def __init__(self, period_ms: int):
-        self.period_ms = period_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("seen", "seen bigint, down boolean")
-
-    def _clock(self, timerValues) -> int:
-        return timerValues.getCurrentProcessingTimeInMs()
-
-    def handleInputRows(self, key, rows, timerValues):
-        kinds = {kind for batch in rows for kind in batch["kind"]}
-        known = self.state.exists()
-        if "removed" in kinds:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if known:
-                self.state.clear()
-            return
-        if (not known and "config" not in kinds) or (known and kinds == {"config"}):
-            return
-        now = self._clock(timerValues)
-        down = self.state.get()[1] if known else False
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(now + self.period_ms + 1)
-        self.state.update((now, False))
-        if down:
-            yield pd.DataFrame({"agent": [key[0]], "action": ["resolve"], "at_ms": [now]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
-            return
-        seen, down = self.state.get()
-        if not down:
-            self.state.update((seen, True))
-            yield pd.DataFrame(
-                {"agent": [key[0]], "action": ["trigger"], "at_ms": [seen + self.period_ms]}
-            )
-
-    def close(self) -> None:
-        pass
-
-
 def configuration_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows agent, kind for the watchdog from two configurations: added and removed agents. The same
     configuration again gives no rows."""
@@ -123,12 +72,8 @@ def configuration_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def silence_watchdog(df: DataFrame, period_ms: int) -> DataFrame:
-    return df.groupBy("agent").transformWithStateInPandas(
-        statefulProcessor=SilenceWatchdog(period_ms),
-        outputStructType="agent string, action string, at_ms bigint",
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
+    """Actions for silent agents from rows agent and kind (`keyed.Watchdog`)."""
+    return watchdog(df, period_ms)
 
 
 class MailDigest(StatefulProcessor):
@@ -142,43 +87,37 @@ class MailDigest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("mail", STATE)
+        self.state = handle.getValueState("mail", "step int, mails bigint, top array<string>, bottom array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        found = _rows(rows, ["arrival"])
-        if not found:
+        frames = [b for b in rows if len(b)]
+        if not frames:
             return
+        bodies = pd.concat(frames).sort_values("arrival", kind="stable")["body"]
+        bodies = bodies.astype(object).where(bodies.notna(), None).tolist()
         if self.state.exists():
-            mail = json.loads(self.state.get()[0])
+            step, mails, top, bottom = self.state.get()
         else:
-            mail = {"step": 0, "count": 0, "top": [], "bottom": []}
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.waits[0])
+            step, mails, top, bottom = 0, 0, [], []
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.waits[0])
         head, tail = (self.cutoff + 1) // 2, self.cutoff // 2
-        for row in found:
-            mail["count"] += 1
-            if len(mail["top"]) < head:
-                mail["top"].append(row["body"])
-            else:
-                mail["bottom"] = (mail["bottom"] + [row["body"]])[-tail:]
-        self.state.update((json.dumps(mail),))
+        more = head - len(top)
+        top, bottom = [*top, *bodies[:more]], [*bottom, *bodies[more:]][-tail:]
+        self.state.update((step, mails + len(bodies), top, bottom))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mail = json.loads(self.state.get()[0])
-        if mail["count"] == 0:
+        step, mails, top, bottom = self.state.get()
+        if mails == 0:
             self.state.clear()
             return
         due = expiredTimerInfo.getExpiryTimeInMs()
-        step = min(mail["step"] + 1, len(self.waits) - 1)
+        step = min(step + 1, len(self.waits) - 1)
         self.handle.registerTimer(due + self.waits[step])
-        self.state.update((json.dumps({"step": step, "count": 0, "top": [], "bottom": []}),))
-        omitted = mail["count"] - self.cutoff
-        middle = [f"... ({omitted} omitted)"] if omitted > 0 else []
-        text = "\n\n---\n\n".join(mail["top"] + middle + mail["bottom"])
-        yield pd.DataFrame(
-            {"subject": [key[0]], "mails": [mail["count"]], "sent_ms": [due], "text": [text]}
-        )
+        self.state.update((step, 0, [], []))
+        middle = [f"... ({mails - self.cutoff} omitted)"] if mails > self.cutoff else []
+        text = "\n\n---\n\n".join(x for x in [*top, *middle, *bottom] if x is not None)
+        yield pd.DataFrame({"subject": [key[0]], "mails": [mails], "sent_ms": [due], "text": [text]})
 
     def close(self) -> None:
         pass
