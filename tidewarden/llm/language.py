@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, sampling
 from .spread import small_batches
 
 PER_LANGUAGE = 600
@@ -163,10 +163,17 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = P
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn_from is not None:
         known = known.filter(learn_from)
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(lowest))
-    ids = ids.filter(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
+    # ids below a hash that leaves about twice as many as are wanted of a language, so that no task ranks more
+    hashed = F.xxhash64("doc_id")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("_ids"))
+    share = F.least(F.lit(2.0 * per_language) / F.col("_ids") + 64 / F.col("_ids"), F.lit(1.0))
+    limits = counts.select("lang", (share * 2.0**63).alias("_limit"))
+    near = known.select("doc_id", "lang", hashed.alias("_h")).join(F.broadcast(limits), "lang")
+    near = near.filter((F.col("_h").cast("double") / 2 + 2.0**62) <= F.col("_limit")).select("doc_id", "lang", "_h").distinct()
+    lowest = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = near.withColumn("_n", F.row_number().over(lowest)).filter(F.col("_n") <= per_language).select("doc_id", "lang")
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    sample = sampling.one_per_id(sample, ["doc_id", "lang"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
