@@ -24,8 +24,8 @@ limit with less than 1e-6. Sets are compared by 64-bit hashes of their shingles.
 
 Defined cases: a null or blank text has no shingles, is its own component and is kept; a row without doc_id
 cannot be named, is linked with nothing and kept; rows with the same doc_id are one node, and with the same
-text they get the same result; empty tables give no rows; other columns are not read here, and `dedup`
-carries them in a struct, so their names cannot clash.
+text they get the same result; empty tables give no rows; other columns are not read here, and `dedup`, which tells
+rows apart as rows, carries them in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.segments import materialize
 from . import arrays
 from .components import components
+from .ranks import ranked
 from .spread import attach, groups, small_batches, sorted_groups
 
 BANDS = 32
@@ -326,9 +327,17 @@ def _results(sketched: DataFrame, classes: DataFrame, united: DataFrame) -> Data
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    judged = near_duplicates(docs, shingle, percent)
+    """One document of each component, with all its columns: the one with the smallest doc_id. Rows are told apart as
+    rows: of rows that repeat an id with one text one stays, rows that repeat an id with different texts are judged each
+    for itself, and rows without id count as coming last."""
+    known = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*known).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1")
+    if not repeated.isEmpty():  # numbers in the order of ids take their place
+        keyed = rows.select(
+            F.lit(0).alias("all"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text", "row"
+        )
+        rows = materialize(ranked(keyed, ["all"], ["last", "id", "h"]).select("row", "text", F.col("pos").alias("doc_id")))
+    judged = near_duplicates(rows.select("doc_id", "text"), shingle, percent)
     gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    left = rows.join(gone, rows["row.doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return left.select("row.*")
+    return rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti").select("row.*")
