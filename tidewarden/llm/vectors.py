@@ -249,7 +249,8 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rest = members.filter("node > center").select("bucket", "node")
     rest = rest.join(named, "node", "left").select("bucket", "node", F.coalesce("group", "node").alias("group"))
     joint = materialize(_across(rest, classes, cosine))
-    named = _groups(links.unionByName(joint))
+    if not joint.isEmpty():
+        named = _groups(links.unionByName(joint))
 
     grouped = materialize(named.join(classes.select("node", "n", "low", "v"), "node"))
     found = grouped.select("node", "group").join(_counted(grouped.select("group", "node", "n", "v"), cosine), "node")
