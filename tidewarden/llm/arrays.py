@@ -3,7 +3,8 @@
 A batch's text column is one byte buffer. Words are maximal runs of bytes other than space and 0x09-0x0D,
 lines are the parts between line feeds; both can be found on bytes, because bytes of longer UTF-8
 characters never take those values. Hashes are 64 bits wide and chained over steps of 8 bytes, all words of
-a slice at once. Callers walk a batch in slices of a few megabytes, which bounds the memory.
+a slice at once. Callers walk a batch in slices of half a megabyte, which bounds the memory: a dozen arrays with
+eight bytes for each byte of text are held at once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 #: glibc's call for it; other C libraries have none.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SLICE_TEXTS = 1 << 13
 _BLOCK = 256
 _U = np.uint64

@@ -41,7 +41,7 @@ CAPACITY = 1024
 END_ID = 2
 SLICES = 1 << 16  # of all lengths together, besides one for each length
 ENCODED_AT_ONCE = 2048
-SLICE = 1 << 20
+SLICE = 1 << 19
 REMEMBERED = 400_000  # cuttings, in each worker process
 SLICE_ROWS = 4096  # a slice is not made smaller than this
 
