@@ -15,8 +15,8 @@ ROCKSDB_PROVIDER = (
 
 
 def local_session(cores: int | str = "*", app: str = "tidewarden", **conf: str) -> SparkSession:
-    """A local session. A cluster session is made by the cluster; nothing here is needed there
-    except the UTC zone, which the query registry sets by itself."""
+    """A local session whose workers find this package from any folder. A cluster session is made by the cluster;
+    nothing here is needed there except the UTC zone, which the query registry sets by itself, and `ship_package`."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -33,7 +33,9 @@ def local_session(cores: int | str = "*", app: str = "tidewarden", **conf: str)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
