@@ -510,3 +510,26 @@ def test_cut_points_too_many_to_broadcast(spark, split):
         for j, row in enumerate(group):
             want[row[2]] = group[j - 1][2] if j else None
     assert {r["id"]: r["before"] for r in out} == want
+
+
+@pytest.mark.parametrize("cutoff", [2, 5])
+def test_two_ended_buffers_of_many_tasks(spark, monkeypatch, cutoff):
+    """Buffers that are cut and passed on many times, null keys and null bodies, and a digest in all tasks."""
+    monkeypatch.setattr(digest, "BUFFER_ROWS", 8)
+    rows = [(None if k == "k1" else k, t, i, None if i % 7 == 0 else f"m{i}") for k, t, i, _ in _rows(13)]
+    df = spark.createDataFrame(rows, "key string, at bigint, id bigint, body string").repartition(5)
+    want = set()
+    for key in {k for k, *_ in rows}:
+        bodies = [b for k, _, _, b in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3])]
+        n, head, tail = len(bodies), (cutoff + 1) // 2, cutoff // 2
+        kept = bodies if n <= cutoff else [*bodies[:head], f"... ({n - cutoff} omitted)", *bodies[n - tail :]]
+        want.add((key, n, digest.SEPARATOR.join(b for b in kept if b is not None)))
+    parts = digest.digest_parts(df, ["key"], ["at", "id"], cutoff)
+    assert {tuple(r) for r in parts.collect()} == want
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_two_ended_buffers_of_no_mails(spark):
+    df = spark.createDataFrame([], "key string, at bigint, body string")
+    assert digest.digest_parts(df, ["key"], ["at"], 3).collect() == []

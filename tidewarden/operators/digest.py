@@ -9,17 +9,22 @@ number is bounded by time and not by mail volume; and the mails are finally assi
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.times import period_millis
 from .ordered import OrderedRows
-from .segments import Cuts, find_cuts, materialize, position
+from .segments import Cuts, find_cuts, position
 
 SEPARATOR = "\n\n---\n\n"
+#: Mails that a task gathers before it cuts them to the ends of their digests.
+BUFFER_ROWS, BUFFER_BYTES = 1 << 16, 32 << 20
 
 
 def waits_micros(backoff: str) -> list[int]:
@@ -157,39 +162,64 @@ def mail_digest(
     assigned = rows.df.filter(F.col("kind") == 1).select(
         "subject", "at", "arrival", "body", "_span.digest", "_span.to_us", "_span.flushed"
     )
-    # head, tail and number are three looks at the same rows
-    return digest_parts(materialize(assigned), ["subject", "digest", "to_us", "flushed"], ["at", "arrival"], cutoff)
+    return digest_parts(assigned, ["subject", "digest", "to_us", "flushed"], ["at", "arrival"], cutoff)
+
+
+def _ends(table: pa.Table, keys: list[str], order: list[str], head: int, tail: int) -> pa.Table:
+    """The first `head` and last `tail` rows of each digest of a table; the first one stands for all rows dropped."""
+    ascending = [(c, "ascending") for c in [*keys, *order]]
+    table = table.take(pc.sort_indices(table, sort_keys=ascending, null_placement="at_start")).combine_chunks()
+    n = table.num_rows
+    new = np.ones(n, dtype=bool)
+    for key in keys:
+        column = table[key]
+        mine, before = column.slice(1), column.slice(0, n - 1)
+        same = pc.if_else(pc.is_null(mine), pc.is_null(before), pc.fill_null(pc.equal(mine, before), False))
+        new[1:] |= ~same.to_numpy()
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, n))
+    rank = np.arange(n) - np.repeat(starts, sizes)
+    weights = np.zeros(n, dtype=np.int64)
+    weights[starts] = np.add.reduceat(table["_n"].to_numpy(), starts)
+    table = table.set_column(table.schema.get_field_index("_n"), table.schema.field("_n"), pa.array(weights))
+    return table.filter(pa.array((rank < head) | (np.repeat(sizes, sizes) - rank <= tail)))
+
+
+def _two_ended(keys: list[str], order: list[str], head: int, tail: int):
+    """mapInArrow body: a two-ended buffer per digest. Rows are gathered up to a bound and cut to their ends; what is
+    left after a cut and still large is passed on, so the buffer does not grow with the digests of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BUFFER_ROWS and sum(b.nbytes for b in held) < BUFFER_BYTES:
+                continue
+            cut = _ends(pa.Table.from_batches(held), keys, order, head, tail)
+            held = cut.to_batches()
+            if cut.num_rows * 2 > BUFFER_ROWS or cut.nbytes * 2 > BUFFER_BYTES:
+                yield from held
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from _ends(pa.Table.from_batches(held), keys, order, head, tail).to_batches()
+
+    return run
 
 
 def digest_parts(mails: DataFrame, keys: list[str], order: list[str], cutoff: int) -> DataFrame:
-    """Per digest: count and the text of the first ceil(cutoff/2) and last floor(cutoff/2) bodies.
-    Each task passes on no more than that many bodies of a digest."""
+    """Per digest: count and the text of the first ceil(cutoff/2) and last floor(cutoff/2) bodies. One pass and one
+    shuffle: each task keeps a two-ended buffer per digest and passes on no more than `cutoff` bodies of it, with the
+    number of mails they stand for; the buffers of all tasks are merged by the same rule."""
     if cutoff < 2:
         raise ValueError("cutoff must be at least 2")
     head, tail = (cutoff + 1) // 2, cutoff // 2
-
-    def edge(ascending: bool, n: int) -> DataFrame:
-        sort = [F.col(c).asc() if ascending else F.col(c).desc() for c in order]
-        numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
-        return mails.select(*keys, *order, "body", numbered.alias("_n")).filter(F.col("_n") <= n)
-
-    kept = edge(True, head).unionByName(edge(False, tail)).drop("_n")
-    entry = F.struct(*order, "body")
-    bodies = kept.groupBy(*keys).agg(
-        F.sort_array(F.array_distinct(F.collect_list(entry))).alias("_b")
+    rows = mails.select(*keys, *order, "body", F.lit(1).cast("long").alias("_n"))
+    kept = rows.mapInArrow(_two_ended(keys, order, head, tail), rows.schema)
+    merged = kept.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*order, "body"))).alias("_b"), F.sum("_n").alias("mails")
     )
-    counts = mails.groupBy(*keys).agg(F.count(F.lit(1)).alias("mails"))
-    renamed = counts.select(*[F.col(k).alias("_k_" + k) for k in keys], "mails")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
     texts = F.transform("_b", lambda b: b["body"])
     omitted = F.format_string("... (%d omitted)", F.col("mails") - F.lit(cutoff))
-    parts = F.when(F.col("mails") <= cutoff, texts).otherwise(
-        F.concat(
-            F.slice(texts, 1, head), F.array(omitted), F.slice(texts, F.lit(head + 1), F.lit(tail))
-        )
-    )
-    return bodies.join(renamed, same, "inner").select(
-        *keys, "mails", F.array_join(parts, SEPARATOR).alias("text")
-    )
+    last = F.slice(texts, F.size("_b") - F.lit(tail - 1), F.lit(tail))
+    parts = F.when(F.col("mails") <= cutoff, texts).otherwise(F.concat(F.slice(texts, 1, head), F.array(omitted), last))
+    return merged.select(*keys, "mails", F.array_join(parts, SEPARATOR).alias("text"))
