@@ -20,6 +20,7 @@ from ..sinks.status_store import StatusStore
 from ..sources import feeds
 from .keyed import TIME_TO_LIVE_MS, Counters, LoadGrace, Partitions, Sightings, Streaks, keyed, watchdog
 from .processors import mail_digests
+from .windows import rate_rows, rate_windows
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -59,8 +60,11 @@ def status_job(spark: SparkSession, source: DataFrame, root: str, compat: bool =
     return handle
 
 
-def alert_job(root: str, severity: str = "service-failure") -> Handler:
-    """Alerts: mails of the notify severity, log context, metrics, dead letters."""
+def alert_job(root: str, severity: str = "service-failure", rate_width: str = "1 hour", delay: str = "10 minutes") -> Handler:
+    """Alerts: mails of the notify severity, log context, metrics, dead letters, and rates per window of event time:
+    closed windows in `rates/alerts/windows`, metrics later than the delay in `rates/alerts/late`."""
+    dims = ["service", "severity"]
+    rates = rate_windows(dims, rate_width, delay).handler(f"{root}/rates/alerts")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         decoded = feeds.decode(batch, "alerts").persist()
@@ -73,8 +77,9 @@ def alert_job(root: str, severity: str = "service-failure") -> Handler:
                 f"{root}/alert_log",
                 batch_id,
             )
-            metrics = events.prefix_dims(events.alert_metrics(good))
-            write_batch(metrics, f"{root}/metrics/alerts", batch_id)
+            metrics = events.alert_metrics(good)
+            write_batch(events.prefix_dims(metrics), f"{root}/metrics/alerts", batch_id)
+            rates(rate_rows(metrics, dims), batch_id)
             _bad_rows(decoded, "alerts", root, batch_id)
         finally:
             decoded.unpersist()
