@@ -33,7 +33,9 @@ def period_millis_column(text: Column | str) -> Column:
     def total(parts: Column) -> Column:
         millis = F.lit(0).cast("long")
         for i, unit in enumerate(_UNITS):
-            millis = millis + F.coalesce(parts[i].try_cast("long"), F.lit(0)) * F.lit(unit)
+            # an empty part is no number: a failed cast costs an exception
+            number = F.when(parts[i] != "", parts[i].try_cast("long"))
+            millis = millis + F.coalesce(number, F.lit(0)) * F.lit(unit)
         fraction = F.rpad(parts[5], 3, "0").try_cast("long")
         given = F.exists(parts, lambda p: p != "")
         return F.when((F.size(parts) == 7) & given, millis + F.coalesce(fraction, F.lit(0)))
